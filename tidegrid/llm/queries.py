@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegrid.llm import decontaminate, packing, quality, secrets, simhash, suffix, toxicity
+from tidegrid.llm import chat, decontaminate, licenses, packing, quality, secrets, simhash, suffix, tokencount, toxicity
 from tidegrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,5 +48,18 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_quality, op4_suffix, op5_decontamination, op6_packing, op7_secrets)}
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversations(table(spark, sf_dir, "conversations"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents have no path; source/lang/doc_id stands for it."""
+    return licenses.licenses(table(spark, sf_dir, "documents"), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
+def op10_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.counted(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), tokencount.stated_edits)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_quality, op4_suffix, op5_decontamination, op6_packing, op7_secrets, op8_chat, op9_licenses, op10_tokencount)}
 ORACLE_SQL: dict[str, str] = {}
