@@ -129,10 +129,10 @@ def panel_locf(cells):
 
 
 def two_way_mean(cells, keys=KEYS):
-    """Series mean plus step mean minus the mean of all."""
+    """Series mean plus step mean minus the mean of all; the series mean at a step without observations."""
     total = cells.agg(F.avg("x").alias("_t"))
     got = cells.join(F.broadcast(total))
-    return _filled(got, F.avg("x").over(Window.partitionBy(*keys)) + F.avg("x").over(Window.partitionBy("ord")) - X("_t"), F.lit(0.0)).drop("_t")
+    return _filled(got, F.avg("x").over(Window.partitionBy(*keys)) + F.avg("x").over(Window.partitionBy("ord")) - X("_t"), F.avg("x").over(Window.partitionBy(*keys)), F.lit(0.0)).drop("_t")
 
 
 def _scanned(cells: DataFrame, keys: tuple[str, ...], run: Callable[[list, list], list]) -> DataFrame:

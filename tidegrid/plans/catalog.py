@@ -55,7 +55,7 @@ _hourly("rolling_median", im.rolling_median, f"quantile_cont(x, 0.5) OVER {LAST2
 _hourly("rolling_median_column_mean", lambda c: im.rolling_median(c, fallback="column_mean"), f"quantile_cont(x, 0.5) OVER {LAST24}", f"avg(x) OVER {ALL}", "0.0")
 _hourly("seasonal_naive", im.seasonal_naive, "last_value(x IGNORE NULLS) OVER (PARTITION BY feature, ord % 24 ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", LOCF, f"avg(x) OVER {ALL}", "0.0")
 _hourly("xsec_feature_mean", im.xsec_feature_mean, "avg(x) OVER (PARTITION BY ord)", LOCF, "0.0")
-_hourly("two_way_mean", im.two_way_mean, f"avg(x) OVER {ALL} + avg(x) OVER (PARTITION BY ord) - avg(x) OVER ()", "0.0")
+_hourly("two_way_mean", im.two_way_mean, f"avg(x) OVER {ALL} + avg(x) OVER (PARTITION BY ord) - avg(x) OVER ()", f"avg(x) OVER {ALL}", "0.0")
 SEEN = f""", s AS (SELECT *, {LOCF} AS av, last_value(CASE WHEN x IS NOT NULL THEN ord END IGNORE NULLS) OVER {UP} AS at_, first_value(x IGNORE NULLS) OVER {ON} AS bv,
 first_value(CASE WHEN x IS NOT NULL THEN ord END IGNORE NULLS) OVER {ON} AS bt FROM g)"""
 _hourly("linear_interp", im.linear, "av + (bv - av) * (ord - at_) / nullif(bt - at_, 0)", "av", "bv", "0.0", extra=SEEN, source="s")
