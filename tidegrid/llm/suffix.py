@@ -8,6 +8,7 @@ A transform of all suffixes of a corpus has no place in one task, so only text t
 3. The dictionary is split by gram. In a task it is cut into shards; each shard's suffixes are sorted once and give its transform. The shards are merged by iterative interleave refinement: after round
    k the interleaving is that of all suffixes ordered by their first k bytes, and a bit says where these differ from the ones before. After LENGTH rounds the runs without a bit are the
    intervals of common prefixes of LENGTH or more: the repeated windows. Suffixes are never sorted across shards.
+   A window that two phrases share holds their gram and LENGTH - GRAM more bytes, at least half of these on one side; a phrase that agrees with no other on either half is left out before sorting.
 4. A gram with over CROWD distinct phrases (a passage in a great share of all documents, each with its own surroundings) is settled by 128-bit hashes of its windows, which are pre-aggregated before the shuffle.
 
 Order is by doc_id, then by a hash of the text for rows that share a doc_id, then by position. Defined cases: null text is empty; texts under LENGTH bytes lose nothing; rows equal in doc_id and
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +52,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def phrases(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end: row, start in the text, number of windows, hash of the gram, hash of the phrase. At most SEGMENT + length bytes at once, or one text's segment."""
+    """Of texts laid end to end: row, start in the text, number of windows + (length + 1) * the gram's offset, hash of the gram, hash of the phrase. At most SEGMENT + length bytes at once, or one text's segment."""
     n = len(data)
     if n < length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64))
@@ -76,7 +78,7 @@ def phrases(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
         last = np.concatenate((first[1:], [len(ok)])) - 1
         s, e, p = ok[first], ok[last], at[first]
         whole = _mix((sums[e + length] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (p - s).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-    return row[s], s - off[row[s]], e - s + 1, g[p].view(np.int64), whole.view(np.int64)
+    return row[s], s - off[row[s]], e - s + 1 + (length + 1) * (p - s), g[p].view(np.int64), whole.view(np.int64)
 
 
 def _segments(data: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -183,6 +185,15 @@ def repeats(strings: list[bytes], where: list[tuple[int, int, int]], length: int
     return list(zip(own[cut].tolist(), at[cut].tolist(), at[end].tolist(), strict=True)) if len(own) else []
 
 
+def comparable(strings: list[bytes], at: list[int], length: int = LENGTH, gram: int = GRAM) -> list[int]:
+    """Of phrases of one gram, at these offsets, those that share half of the bytes around it, on one side, with another: no other pair can share a window."""
+    half = (length - gram + 1) // 2
+    left = [s[q - half : q + gram] if q >= half else None for s, q in zip(strings, at, strict=True)]
+    right = [s[q : q + gram + half] if q + gram + half <= len(s) else None for s, q in zip(strings, at, strict=True)]
+    lefts, rights = Counter(left), Counter(right)
+    return [k for k in range(len(strings)) if (left[k] is not None and lefts[left[k]] > 1) or (right[k] is not None and rights[right[k]] > 1)]
+
+
 def _docs(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64(text).alias("x"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
@@ -205,13 +216,13 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in (g, p, d[rows[row]], x[rows[row]], s + starts[row], n)], ["g", "p", "d", "x", "s", "n"])
 
     found = staged(keyed.select("d", "x", "text").mapInArrow(cut, "g long, p long, d long, x long, s long, n long"), "phrases")
-    twice = found.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g")
+    twice = staged(found.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), "twice")  # as a table, so that the join's skewed partitions can be split
     found = staged(found.join(twice, "g"), "repeated")
     _free(found)
     firsts = staged(found.groupBy("g", "p").agg(F.min(F.struct("d", "x", "s", "n")).alias("f")), "firsts")
     later = found.join(firsts.select("g", "p", F.col("f.d").alias("fd"), F.col("f.x").alias("fx"), F.col("f.s").alias("fs")), ["g", "p"])
-    later = later.where("d <> fd or x <> fx or s <> fs").select("d", "x", F.col("s").alias("a"), (F.col("s") + F.col("n") + length - 1).alias("b"))
-    several = firsts.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    later = later.where("d <> fd or x <> fx or s <> fs").select("d", "x", F.col("s").alias("a"), (F.col("s") + F.col("n") % (length + 1) + length - 1).alias("b"))
+    several = staged(firsts.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "several")
     wanted = firsts.join(several, "g").select("g", "c", "f.*").groupBy("d", "x").agg(F.collect_list(F.struct("g", "c", "s", "n")).alias("w"))  # a text's phrases: bounded by the text
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,34 +230,43 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
             data, off = utf8(batch.column("text"))
             d, x = (batch.column(c).to_pylist() for c in ("d", "x"))
             for i, w in enumerate(batch.column("w").to_pylist()):
-                got = [(q["g"], q["c"], d[i], x[i], q["s"], data[off[i] + q["s"] : off[i] + q["s"] + q["n"] + length - 1].tobytes()) for q in w]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*got, strict=True), [pa.int64()] * 5 + [pa.binary()], strict=True)], ["g", "c", "d", "x", "s", "bytes"])
+                got = [(q["g"], q["c"], d[i], x[i], q["s"], q["n"] // (length + 1), data[off[i] + q["s"] : off[i] + q["s"] + q["n"] % (length + 1) + length - 1].tobytes()) for q in w]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*got, strict=True), [pa.int64()] * 6 + [pa.binary()], strict=True)], ["g", "c", "d", "x", "s", "q", "bytes"])
 
     once = keyed.select("d", "x", "text")
-    dictionary = once.join(wanted, ["d", "x"]).mapInArrow(fetch, "g long, c long, d long, x long, s long, bytes binary")
+    dictionary = once.join(wanted, ["d", "x"]).mapInArrow(fetch, "g long, c long, d long, x long, s long, q long, bytes binary")
     dictionary = staged(dictionary, "dictionary")
     _free(dictionary)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        same: list[tuple] = []
         size, g = 0, None
 
         def out() -> pa.RecordBatch:
             got = [(held[k][0], held[k][1], held[k][2] + a, held[k][2] + b + length) for k, a, b in repeats([h[3] for h in held], [h[:3] for h in held], length)] if held else []
             return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (zip(*got, strict=True) if got else [[]] * 4)], ["d", "x", "a", "b"])
 
+        def close() -> int:
+            kept = [same[k] for k in comparable([h[3] for h in same], [h[4] for h in same], length, gram)]
+            held.extend(kept)
+            same.clear()
+            return sum(len(h[3]) for h in kept)
+
         for batch in batches:
-            for gram_, *row in zip(*(batch.column(c).to_pylist() for c in ("g", "d", "x", "s", "bytes")), strict=True):
-                if gram_ != g and size > MERGE:
-                    yield out()
-                    held.clear()
-                    size = 0
+            for gram_, *row in zip(*(batch.column(c).to_pylist() for c in ("g", "d", "x", "s", "bytes", "q")), strict=True):
+                if gram_ != g:
+                    size += close()
+                    if size > MERGE:
+                        yield out()
+                        held.clear()
+                        size = 0
                 g = gram_
-                held.append(tuple(row))
-                size += len(row[3])
+                same.append(tuple(row))
+        close()
         yield out()
 
-    few = dictionary.where(F.col("c") <= crowd).repartition("g").sortWithinPartitions("g").select("g", "d", "x", "s", "bytes").mapInArrow(sort, "d long, x long, a long, b long")
+    few = dictionary.where(F.col("c") <= crowd).repartition("g").sortWithinPartitions("g").select("g", "d", "x", "s", "bytes", "q").mapInArrow(sort, "d long, x long, a long, b long")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
