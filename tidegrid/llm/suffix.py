@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import staged, utf8
+from tidegrid.llm.common import remove, staged, utf8
 
 LENGTH, GRAM, CROWD = 100, 32, 1_000
 SEGMENT, SHARD, MERGE = 1 << 19, 1 << 16, 1 << 18
@@ -215,9 +215,11 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
                 row, s, n, g, p = phrases(part, o, length, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in (g, p, d[rows[row]], x[rows[row]], s + starts[row], n)], ["g", "p", "d", "x", "s", "n"])
 
-    found = staged(keyed.select("d", "x", "text").mapInArrow(cut, "g long, p long, d long, x long, s long, n long"), "phrases")
-    twice = staged(found.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), "twice")  # as a table, so that the join's skewed partitions can be split
-    found = staged(found.join(twice, "g"), "repeated")
+    every = staged(keyed.select("d", "x", "text").mapInArrow(cut, "g long, p long, d long, x long, s long, n long"), "phrases")
+    twice = staged(every.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), "twice")  # as a table, so that the join's skewed partitions can be split
+    found = staged(every.join(twice, "g"), "repeated")
+    remove(every)
+    remove(twice)
     _free(found)
     firsts = staged(found.groupBy("g", "p").agg(F.min(F.struct("d", "x", "s", "n")).alias("f")), "firsts")
     later = found.join(firsts.select("g", "p", F.col("f.d").alias("fd"), F.col("f.x").alias("fx"), F.col("f.s").alias("fs")), ["g", "p"])
@@ -236,6 +238,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
     once = keyed.select("d", "x", "text")
     dictionary = once.join(wanted, ["d", "x"]).mapInArrow(fetch, "g long, c long, d long, x long, s long, q long, bytes binary")
     dictionary = staged(dictionary, "dictionary")
+    remove(several)
     _free(dictionary)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
