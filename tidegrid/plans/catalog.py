@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegrid.operators import estimator as es
 from tidegrid.operators import evaluate as ev
 from tidegrid.operators import impute as im
+from tidegrid.operators import matrix as mx
 from tidegrid.sources import grid
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,3 +170,14 @@ _add(
     lambda spark, d: ev.trailing_windows(grid.hourly_events(spark, d), 24).groupBy("feature", "win_id").agg(F.count("x").alias("n_seen"), F.round(F.avg("x"), 6).alias("mean_x")),
     f"WITH {HOURLY} SELECT feature, ord AS win_id, count(x) OVER {LAST24} AS n_seen, round(avg(x) OVER {LAST24}, 6) AS mean_x FROM g",
 )
+
+PANEL_KEYS = ("entity",)
+_add("estimator", lambda spark, d: es.traced(grid.hourly_events(spark, d)).select("feature", "ord", F.round("fill", 6).alias("fill"), F.round("sigma", 6).alias("sigma"), *[F.round(p, 6).alias(p) for p in (*es.PARTS, "residual")]))
+_add("estimator_per_entity", lambda spark, d: es.traced(grid.daily_users(spark, d), PANEL_KEYS).select("entity", "feature", "ord", F.round("fill", 6).alias("fill")))
+_add("estimator_trust", lambda spark, d: es.selective(es.certificate(es.traced(grid.hourly_events(spark, d)))).select("feature", "ord", F.round("fill", 6).alias("fill"), F.round("trust", 6).alias("trust")))
+_add("estimator_steps", lambda spark, d: es.steps(grid.hourly_events(spark, d)).select("ord", "effective_rank", *[F.round(c, 6).alias(c) for c in ("row_weight", "anomaly", "nu", "ar")]))
+_add("estimator_network", lambda spark, d: es.network(grid.hourly_events(spark, d)).select("i", "j", F.round("corr", 6).alias("corr")))
+_add("estimator_forecast", lambda spark, d: es.forecast(grid.hourly_events(spark, d), 24).select("feature", "ord", F.round("fill", 6).alias("fill")))
+_add("audit_estimator", _certificate("estimator"))
+for _m in mx.NAMES:
+    _add(f"matrix_{_m}", lambda spark, d, m=_m: im.impute(grid.hourly_events(spark, d), m).select("feature", "ord", F.round("fill", 6).alias("fill")))
