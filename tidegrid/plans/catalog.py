@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegrid.functions import scores as sc
+from tidegrid.operators import audit as au
 from tidegrid.operators import estimator as es
 from tidegrid.operators import evaluate as ev
 from tidegrid.operators import impute as im
@@ -181,3 +183,76 @@ _add("estimator_forecast", lambda spark, d: es.forecast(grid.hourly_events(spark
 _add("audit_estimator", _certificate("estimator"))
 for _m in mx.NAMES:
     _add(f"matrix_{_m}", lambda spark, d, m=_m: im.impute(grid.hourly_events(spark, d), m).select("feature", "ord", F.round("fill", 6).alias("fill")))
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Doubles to six digits, in these columns."""
+    kinds = dict(df.dtypes)
+    return df.select(*[F.round(c, 6).alias(c) if kinds[c] == "double" else F.col(c) for c in columns])
+
+
+def _stat(name: str, build, columns: str, sql: str) -> None:
+    _add(name, lambda spark, d: _rounded(build(grid.hourly_events(spark, d)), *columns.split()), f"WITH {HOURLY}{sql}")
+
+
+_stat("hampel", sc.hampel, "feature ord score", """, w AS (SELECT *, list(x) FILTER (x IS NOT NULL) OVER (PARTITION BY feature ORDER BY ord ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS l FROM g), u AS (SELECT feature, ord, x, unnest(l) AS v FROM w),
+m AS (SELECT feature, ord, median(v) AS m FROM u GROUP BY ALL), a AS (SELECT feature, ord, any_value(m) AS m, median(abs(v - m)) AS d FROM u JOIN m USING (feature, ord) GROUP BY feature, ord)
+SELECT g.feature, g.ord, round(abs(x - m) / nullif(1.4826::DOUBLE * d, 0), 6) AS score FROM g LEFT JOIN a USING (feature, ord)""")
+_stat("robust_standardised", sc.robust_standardised, "feature ord z", """, m AS (SELECT feature, median(x) AS m, stddev_pop(x) AS s FROM g GROUP BY ALL), d AS (SELECT feature, median(abs(x - m)) AS d FROM g JOIN m USING (feature) GROUP BY ALL)
+SELECT feature, ord, round((x - m) / greatest(s, 1.4826::DOUBLE * d, 0.01), 6) AS z FROM g JOIN m USING (feature) JOIN d USING (feature)""")
+_stat("lag_memory", sc.lag_memory, "feature memory n", """, q AS (SELECT feature, x, lag(x) OVER (PARTITION BY feature ORDER BY ord) AS p FROM g)
+SELECT feature, round(corr(x, p), 6) AS memory, count(*) AS n FROM q WHERE x IS NOT NULL AND p IS NOT NULL GROUP BY ALL""")
+_stat("tail_index", sc.tail_index, "feature nu", """, e AS (SELECT feature, kurtosis_pop(x) AS k FROM g GROUP BY ALL)
+SELECT feature, round(CASE WHEN k > 0.2 THEN least(60, 4 + 6 / k) ELSE 60 END, 6) AS nu FROM e""")
+_stat("correlations", sc.correlations, "i j corr n", """ SELECT a.feature AS i, b.feature AS j, round(corr(a.x, b.x), 6) AS corr, count(*) AS n FROM g AS a JOIN g AS b USING (ord) WHERE a.feature < b.feature AND a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY ALL""")
+_stat("selective_indicators", sc.selective_indicators, "feature difference informative", """, s AS (SELECT feature, stddev_pop(x) AS s FROM g GROUP BY ALL),
+d AS (SELECT a.feature AS target, b.feature, avg(b.x) FILTER (a.x IS NULL) AS u, avg(b.x) FILTER (a.x IS NOT NULL) AS v, count(b.x) FILTER (a.x IS NULL) AS nu, count(b.x) FILTER (a.x IS NOT NULL) AS nv FROM g AS a JOIN g AS b USING (ord) WHERE a.feature <> b.feature GROUP BY ALL),
+m AS (SELECT target, avg(abs(u - v) / nullif(s, 0)) AS difference FROM d JOIN s USING (feature) WHERE nu >= 8 AND nv >= 8 GROUP BY ALL)
+SELECT k.feature, round(difference, 6) AS difference, coalesce(difference >= 0.15, false) AS informative FROM k LEFT JOIN m ON m.target = k.feature""")
+HIDE = f"""WITH {HOURLY.replace('g AS (', 'g0 AS (')}, m AS (SELECT feature, ord, x AS truth, x IS NOT NULL AND {DRAW.format('feature, ord, 3')} < 150 AS hidden FROM g0), g AS (SELECT *, CASE WHEN NOT hidden THEN truth END AS x FROM m),
+f AS (SELECT *, {LOCF} AS held, avg(x) OVER {UP} AS mean, ord - coalesce(max(CASE WHEN x IS NOT NULL THEN ord END) OVER {UP}, -1) AS gap FROM g), e AS (SELECT feature, ord, gap, abs(coalesce(held, 0) - truth) AS err FROM f WHERE hidden)"""
+
+
+def _errors(spark: SparkSession, d: str) -> DataFrame:
+    cells = im.locf(ev.missingness(ev.masked(grid.hourly_events(spark, d), "mcar", 0.15, 3)))
+    return cells.where("hidden").select("feature", "ord", F.col("time_since_obs").cast("long").alias("gap"), F.abs(F.col("fill") - F.col("truth")).alias("err"))
+
+
+_add("gap_error_spearman", lambda spark, d: _rounded(sc.spearman(_errors(spark, d), "gap", "err", ("feature",)), "feature", "spearman", "n"),
+     HIDE + """, r AS (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY gap) + (count(*) OVER (PARTITION BY feature, gap) - 1) / 2 AS a, rank() OVER (PARTITION BY feature ORDER BY err) + (count(*) OVER (PARTITION BY feature, err) - 1) / 2 AS b FROM e)
+SELECT feature, round(corr(a, b), 6) AS spearman, count(*) AS n FROM r GROUP BY ALL""")
+_add("gap_error_tertiles", lambda spark, d: _rounded(sc.by_tertile(_errors(spark, d), "gap", "err", ("feature",)), "feature", "stratum", "n", "mean_score"),
+     HIDE + """, c AS (SELECT feature, quantile_cont(gap, 1 / 3) AS a, quantile_cont(gap, 2 / 3) AS b FROM e GROUP BY ALL)
+SELECT feature, CASE WHEN gap <= a THEN 'short' WHEN gap <= b THEN 'medium' ELSE 'long' END AS stratum, count(*) AS n, round(avg(err), 6) AS mean_score FROM e JOIN c USING (feature) GROUP BY ALL""")
+
+
+def _ensemble(spark: SparkSession, d: str) -> DataFrame:
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("m"))
+    return _rounded(v.select("vec_id", sc.ensemble_crps(F.lit(0.05), F.col("m")).alias("crps")), "vec_id", "crps")
+
+
+_add("ensemble_crps", _ensemble, """WITH u AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), r AS (SELECT vec_id, v, row_number() OVER (PARTITION BY vec_id ORDER BY v) AS i, count(*) OVER (PARTITION BY vec_id) AS n FROM u)
+SELECT vec_id, round(avg(abs(v - 0.05::DOUBLE)) - sum((2 * i - n - 1) * v) / max(n * n), 6) AS crps FROM r GROUP BY ALL""")
+
+
+def _benchmark(spark: SparkSession, d: str) -> DataFrame:
+    """Every point-in-time window method on one mask, one row each, with its rank."""
+    from functools import reduce
+
+    from pyspark.sql.window import Window
+
+    cells = ev.masked(grid.hourly_events(spark, d), "mcar", 0.15, 3)
+    rows = [ev.scores(im.impute(cells, m)).select(F.lit(m).alias("method"), "mae", "rmse", "n") for m in ("zero", "locf", "mean_past")]
+    return _rounded(reduce(DataFrame.unionByName, rows).withColumn("place", F.rank().over(Window.orderBy("mae"))), "method", "mae", "rmse", "n", "place")
+
+
+_add("benchmark", _benchmark, HIDE + """, l AS (SELECT truth, unnest([struct_pack(method := 'zero', v := 0.0::DOUBLE), struct_pack(method := 'locf', v := coalesce(held, 0)), struct_pack(method := 'mean_past', v := coalesce(mean, 0))]) AS q FROM f WHERE hidden),
+t AS (SELECT q.method AS method, avg(abs(q.v - truth)) AS a, sqrt(avg((q.v - truth) ** 2)) AS b, count(*) AS n FROM l GROUP BY ALL) SELECT method, round(a, 6) AS mae, round(b, 6) AS rmse, n, CAST(rank() OVER (ORDER BY a) AS INT) AS place FROM t""")
+_add("disagreements", lambda spark, d: sc.disagreements(spark.read.parquet(f"{d}/events.parquet"), ("user_id", "event_type"), "value").select("user_id", "event_type", "n_values", F.round("low", 6).alias("low"), F.round("high", 6).alias("high")),
+     "SELECT user_id, event_type, count(DISTINCT value) AS n_values, round(min(value), 6) AS low, round(max(value), 6) AS high FROM events GROUP BY ALL HAVING count(DISTINCT value) >= 2")
+for _m in ("nocb", "linear_interp", "softimpute"):
+    _add(f"leakage_{_m}", lambda spark, d, m=_m: _rounded(au.report(grid.hourly_events(spark, d), m), "method", "mae_full", "mae_causal", "delta", "max_revision", "holds"))
+_add("right_edge", lambda spark, d: _rounded(au.right_edge(ev.trailing_windows(grid.hourly_events(spark, d), 24)), "feature", "win_id", "x"), f"WITH {HOURLY} SELECT feature, ord AS win_id, round(x, 6) AS x FROM g")
+_add("trailing_multipliers", lambda spark, d: _rounded(au.trailing_multipliers(_errors(spark, d).withColumnRenamed("err", "score"), 0.9, 30, 10), "feature", "ord", "multiplier"),
+     HIDE + f""", w AS (SELECT feature, ord, list(err) OVER (PARTITION BY feature ORDER BY ord ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS l FROM e), n AS (SELECT feature, ord, list_sort(l) AS l, coalesce(len(l), 0) AS n FROM w)
+SELECT feature, ord, round(CASE WHEN n < 10 THEN {ev.normal_quantile(0.95)!r}::DOUBLE ELSE l[least(n, CAST(ceil(0.9::DOUBLE * (n + 1)) AS BIGINT))] END, 6) AS multiplier FROM n""")
