@@ -90,3 +90,19 @@ def test_merged_intervals(shard):
                 want.add((k, j))
             seen.add(s[j : j + 8])
     assert got == want
+
+
+@pytest.mark.parametrize("length", [5, 8, 11])
+@pytest.mark.parametrize("alphabet", [(97, 98), (97, 254, 255)])
+@pytest.mark.parametrize("shard", [30, 10**6])
+def test_merged_depths_and_bytes(length, alphabet, shard):
+    rng = np.random.default_rng(length + shard % 7)
+    strings = [bytes(rng.choice(alphabet, rng.integers(length, 40)).tolist()) for _ in range(25)]
+    got = {(k, j) for k, a, b in suffix.repeats(strings, [(i, 0, 0) for i in range(25)], length, shard) for j in range(a, b + 1)}
+    seen, want = set(), set()
+    for k, s in enumerate(strings):
+        for j in range(len(s) - length + 1):
+            if s[j : j + length] in seen:
+                want.add((k, j))
+            seen.add(s[j : j + length])
+    assert got == want

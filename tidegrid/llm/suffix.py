@@ -6,7 +6,7 @@ A transform of all suffixes of a corpus has no place in one task, so only text t
    a gram that occurs once rules its windows out, and only phrases of one gram need comparison (as in prefix-free parsing). Nothing is lost.
 2. Of equal phrases of a gram the first stays; all windows of the others start earlier too. The distinct phrases of grams with several are the dictionary.
 3. The dictionary is split by gram. In a task it is cut into shards; each shard's suffixes are sorted once and give its transform. The shards are merged by iterative interleave refinement: after round
-   k the interleaving is that of all suffixes ordered by their first k bytes, and a bit says where these differ from the ones before. After LENGTH rounds the runs without a bit are the
+   k the interleaving is that of all suffixes ordered by their first 2k bytes, and a bit says where these differ from the ones before. After LENGTH / 2 rounds the runs without a bit are the
    intervals of common prefixes of LENGTH or more: the repeated windows. Suffixes are never sorted across shards.
    A window that two phrases share holds their gram and LENGTH - GRAM more bytes, at least half of these on one side; a phrase that agrees with no other on either half is left out before sorting.
 4. A gram with over CROWD distinct phrases (a passage in a great share of all documents, each with its own surroundings) is settled by 128-bit hashes of its windows, which are pre-aggregated before the shuffle.
@@ -99,7 +99,7 @@ def _segments(data: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[
 
 
 def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix order of a shard (places in the strings laid end to end, each closed by an end mark below all bytes and ordered by string) and its transform."""
+    """The suffix order of a shard (places in the strings laid end to end, each closed by an end mark below all bytes and ordered by string) and its transform: the two bytes before each suffix."""
     text = np.concatenate([np.append(np.frombuffer(s, np.uint8).astype(np.int64) + 1, 0) for s in strings])
     n = len(text)
     ends = text == 0
@@ -116,27 +116,41 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if new[-1] == n - 1:
             break
         step *= 2
-    before = np.concatenate(([0], text[:-1]))
-    return order, before[order].astype(np.uint16)
-
-
-def merged(shards: list[tuple[np.ndarray, np.ndarray]], marks: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave refinement of transforms to prefixes of `depth`: for each place the suffix (counted over the shards laid end to end), and the number of its interval of equal prefixes."""
-    chars = np.concatenate([b for _, b in shards])
-    n, total = len(chars), sum(marks)
-    z = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(b) for _, b in shards])
-    fixed = np.repeat(np.arange(len(shards), dtype=np.uint16), marks)
-    block, here = np.zeros(n, np.int32), np.empty(n, np.uint16)
-    new = np.empty(n, bool)
-    for _ in range(depth):
+    return order, np.stack((np.roll(text, 2)[order], np.roll(text, 1)[order])).astype(np.uint16)
+
+
+def merged(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave refinement of transforms to prefixes of `depth`: for each place the suffix (counted over the shards laid end to end), and the number of its interval of equal prefixes.
+
+    A transform holds the two bytes before each suffix, so a round refines by two; an odd depth begins with a round of one.
+    """
+    far, near = np.concatenate([b for _, b in shards], axis=1)
+    base = 256 if max(far.max(initial=0), near.max(initial=0)) < 256 else 257  # UTF-8 has no byte 255
+    narrow = np.uint16 if base == 256 else np.uint32
+    n = len(near)
+    small = np.uint8 if len(shards) <= 256 else np.uint16
+    start = np.repeat(np.arange(len(shards), dtype=small), [b.shape[1] for _, b in shards])
+    z, block, new = start, np.zeros(n, np.int32), np.ones(n, bool)
+    rounds = [(near, 0)] * (depth % 2) + [(far.astype(narrow) * narrow(base) + near, base)] * (depth // 2)
+    known = None
+    for chars, wide in rounds:
+        if known is None or known[0] is not chars:
+            # suffixes whose first bytes hold an end mark are all different, ordered by shard from the start
+            own = np.where(chars < wide, chars.dtype.type(0), chars) if wide else chars
+            by = np.argsort(own, kind="stable")
+            c = own[by]
+            done = np.flatnonzero((c % wide == 0) if wide else (c == 0))
+            known = chars, c[1:] != c[:-1], done, start[by][done]
+            here = np.empty(n, chars.dtype)
+        _, edge, done, settled = known
         here[np.argsort(z, kind="stable")] = chars
         order = np.argsort(here, kind="stable")
-        c, b = here[order], block[order]
-        new[0] = True
-        np.logical_or(c[1:] != c[:-1], b[1:] != b[:-1], out=new[1:])
-        new[: total + 1] = True  # end marks are all different
+        b = block[order]
+        np.not_equal(b[1:], b[:-1], out=new[1:])
+        new[1:] |= edge
+        new[done] = True
         z = z[order]
-        z[:total] = fixed
+        z[done] = settled
         block = np.cumsum(new, dtype=np.int32)
         if block[-1] == n:
             break
@@ -163,7 +177,7 @@ def repeats(strings: list[bytes], where: list[tuple[int, int, int]], length: int
         shards.append((order, bwt))
         owner.append(own[order])
         place.append(at[order])
-    which, block = merged(shards, [len(g) for g in groups], length)
+    which, block = merged(shards, length)
     own, at = np.concatenate(owner)[which], np.concatenate(place)[which]
     sizes = np.array([len(s) for s in strings])
     ok = at + length <= sizes[own]
