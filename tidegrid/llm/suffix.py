@@ -109,7 +109,7 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         far = np.zeros(n, np.int64)
         far[: n - step] = rank[step:] + 1 if step < n else 0
         key = rank * (n + len(strings) + 300) + np.where(rank < len(strings), 0, far)  # an end mark decides
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys get one rank, so their order is free
         new = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
         rank = np.empty(n, np.int64)
         rank[order] = new
