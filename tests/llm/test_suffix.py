@@ -106,3 +106,13 @@ def test_merged_depths_and_bytes(length, alphabet, shard):
                 want.add((k, j))
             seen.add(s[j : j + length])
     assert got == want
+
+
+def test_shared_ids_with_different_texts(spark):
+    a, b = "0123456789" * 12, "abcdefghij" * 12
+    rows = [(5, a), (5, a + b), (6, b), (None, b), (None, a + "!")]
+    got = suffix.without_repeats(frame(spark, rows)).collect()
+    assert len(got) == 5 and {(r.doc_id, r.n_bytes) for r in got} == {(i, len(t)) for i, t in rows}
+    by = {(r.doc_id, r.n_bytes): r.n_removed for r in got}
+    assert by[(6, 120)] == 120 and by[(None, 120)] == 120 and by[(None, 121)] == 120
+    assert len({by[(5, 120)], by[(5, 240)]} & {120, 240}) == 1

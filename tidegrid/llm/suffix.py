@@ -209,8 +209,10 @@ def comparable(strings: list[bytes], at: list[int], length: int = LENGTH, gram:
 
 
 def _docs(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64(text).alias("x"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    """d, x, text, doc_id. x, the tie break, is a hash of the text where rows share a doc_id and else 0, which costs next to nothing in the tables and shuffles of phrases."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    shared = staged(rows.groupBy("d").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")  # as a table its size is known, so the planner broadcasts it only where it is small
+    return rows.join(shared, "d", "left").select("d", F.when(F.col("c").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0)).cast("long").alias("x"), "text", "doc_id")
 
 
 def _free(df: DataFrame) -> None:
