@@ -18,6 +18,7 @@ text count as one row and get equal results; a null doc_id is ordered last. No r
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
@@ -216,6 +217,7 @@ def _docs(docs: DataFrame) -> DataFrame:
 
 
 def _free(df: DataFrame) -> None:
+    gc.collect()  # so that the driver's JVM holds no frame for Python's sake
     df.sparkSession._jvm.System.gc()  # the shuffle files of a table that is written need not wait for the driver's next collection
 
 
@@ -238,6 +240,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
     remove(twice)
     _free(found)
     firsts = staged(found.groupBy("g", "p").agg(F.min(F.struct("d", "x", "s", "n")).alias("f")), "firsts")
+    _free(firsts)
     later = found.join(firsts.select("g", "p", F.col("f.d").alias("fd"), F.col("f.x").alias("fx"), F.col("f.s").alias("fs")), ["g", "p"])
     later = later.where("d <> fd or x <> fx or s <> fs").select("d", "x", F.col("s").alias("a"), (F.col("s") + F.col("n") % (length + 1) + length - 1).alias("b"))
     several = staged(firsts.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "several")
