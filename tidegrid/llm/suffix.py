@@ -243,9 +243,6 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
     _free(firsts)
     later = found.join(firsts.select("g", "p", F.col("f.d").alias("fd"), F.col("f.x").alias("fx"), F.col("f.s").alias("fs")), ["g", "p"])
     later = later.where("d <> fd or x <> fx or s <> fs").select("d", "x", F.col("s").alias("a"), (F.col("s") + F.col("n") % (length + 1) + length - 1).alias("b"))
-    later = staged(later, "later")  # its two sides are the largest shuffles, gone before the next step
-    remove(found)
-    _free(later)
     several = staged(firsts.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "several")
     wanted = firsts.join(several, "g").select("g", "c", "f.*").groupBy("d", "x").agg(F.collect_list(F.struct("g", "c", "s", "n")).alias("w"))  # a text's phrases: bounded by the text
 
@@ -261,7 +258,6 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
     dictionary = once.join(wanted, ["d", "x"]).mapInArrow(fetch, "g long, c long, d long, x long, s long, q long, bytes binary")
     dictionary = staged(dictionary, "dictionary")
     remove(several)
-    remove(firsts)
     _free(dictionary)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
