@@ -224,6 +224,8 @@ def _free(df: DataFrame) -> None:
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """(d, x, a, b): byte ranges to remove, of the row with order keys d and x; they overlap."""
     keyed = _docs(docs)
+    bits = ((length + 1) ** 2).bit_length()  # sn: a phrase's start, then its windows and its gram's offset in so many bits; one number is shuffled for both
+    start, size = F.shiftright("sn", bits), F.col("sn").bitwiseAND((1 << bits) - 1)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,20 +233,20 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
             d, x = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "x"))
             for part, o, rows, starts in _segments(data, off, length):
                 row, s, n, g, p = phrases(part, o, length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (g, p, d[rows[row]], x[rows[row]], s + starts[row], n)], ["g", "p", "d", "x", "s", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (g, p, d[rows[row]], x[rows[row]], (s + starts[row]) << bits | n)], ["g", "p", "d", "x", "sn"])
 
-    every = staged(keyed.select("d", "x", "text").mapInArrow(cut, "g long, p long, d long, x long, s long, n long"), "phrases")
+    every = staged(keyed.select("d", "x", "text").mapInArrow(cut, "g long, p long, d long, x long, sn long"), "phrases")
     twice = staged(every.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), "twice")  # as a table, so that the join's skewed partitions can be split
     found = staged(every.join(twice, "g"), "repeated")
     remove(every)
     remove(twice)
     _free(found)
-    firsts = staged(found.groupBy("g", "p").agg(F.min(F.struct("d", "x", "s", "n")).alias("f")), "firsts")
+    firsts = staged(found.groupBy("g", "p").agg(F.min(F.struct("d", "x", "sn")).alias("f")), "firsts")
     _free(firsts)
-    later = found.join(firsts.select("g", "p", F.col("f.d").alias("fd"), F.col("f.x").alias("fx"), F.col("f.s").alias("fs")), ["g", "p"])
-    later = later.where("d <> fd or x <> fx or s <> fs").select("d", "x", F.col("s").alias("a"), (F.col("s") + F.col("n") % (length + 1) + length - 1).alias("b"))
+    later = found.join(firsts.select("g", "p", F.col("f.d").alias("fd"), F.col("f.x").alias("fx"), F.col("f.sn").alias("fsn")), ["g", "p"])
+    later = later.where("d <> fd or x <> fx or sn <> fsn").select("d", "x", start.alias("a"), (start + size % (length + 1) + length - 1).alias("b"))
     several = staged(firsts.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "several")
-    wanted = firsts.join(several, "g").select("g", "c", "f.*").groupBy("d", "x").agg(F.collect_list(F.struct("g", "c", "s", "n")).alias("w"))  # a text's phrases: bounded by the text
+    wanted = firsts.join(several, "g").select("g", "c", "f.*").groupBy("d", "x").agg(F.collect_list(F.struct("g", "c", start.alias("s"), size.alias("n"))).alias("w"))  # a text's phrases: bounded by the text
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
