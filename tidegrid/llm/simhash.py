@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.llm import overlap
 from tidegrid.llm.common import staged, utf8
 from tidegrid.llm.components import components
 
@@ -116,7 +117,10 @@ def near_duplicates(docs: DataFrame, bits: int = 2, shingle: int = 3, seed: int
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, bits: int = 2) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; of rows with the same doc_id all stay. A null doc_id goes unless nothing else is in its component."""
-    keep = near_duplicates(docs, bits).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, F.expr("doc_id <=> kept_id"), "left_semi")
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component; of rows with the same doc_id all stay. A null doc_id goes unless nothing else is in its component.
+
+    Components are those of 5-word shingles with a Jaccard similarity of 0.8 or more (tidegrid/llm/overlap.py): so far apart fingerprints differ in up to about
+    a quarter of their bits, too many for buckets of them.
+    """
+    return docs.join(overlap.kept_ids(docs), F.expr("doc_id <=> kept_id"), "left_semi")
