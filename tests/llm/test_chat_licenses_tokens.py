@@ -1,3 +1,6 @@
+import textwrap
+from pathlib import Path
+
 import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -66,3 +69,14 @@ def test_counts_on_documents(spark):
             t = t[:a] + new + t[max(a, b) :]
         assert r.n_after == len(enc.encode_ordinary(t)) and (r.n_pieces < 300 or r.n_encoded < r.n_pieces / 4)
     assert tokencount.counted(docs.limit(0), PATH, tokencount.stated_edits).collect() == []
+
+
+def test_whole_licence_files_grant(spark):
+    folder, names = Path(licenses.__file__).parent / "license_texts", ["MIT", "Apache-2.0", "BSD-3-Clause", "GPL-3.0", "MPL-2.0"]
+    text = {k: "Copyright (c) 2021 Somebody Else and others\n\n" + "\n".join(textwrap.wrap((folder / f"{k}.txt").read_text(), 66)) for k in names}
+    rows = [x for i, k in enumerate(names) for x in ((10 * i, f"{k}/x/LICENSE-file", text[k]), (10 * i + 1, f"{k}/y/terms", text[k]), (10 * i + 2, f"{k}/x/a/b", "plain"), (10 * i + 3, f"{k}/y/c", "plain"))]
+    rows += [(90, "n/COPYING", "Licensed under CC BY 4.0.\n" + "other words " * 60), (91, "n/a", "plain"), (92, "o/readme", "Licensed under CC BY 4.0.\n" + "other words " * 60), (93, "o/a", "plain")]
+    got = {r.doc_id: (r.license, r.origin) for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).collect()}
+    for i, k in enumerate(names):
+        assert [got[10 * i + j] for j in range(4)] == [(k, "own"), (k, "own"), (k, "inherited"), (k, "inherited")]
+    assert got[91] == ("CC-BY-4.0", "inherited") and got[93] == (None, "none")

@@ -1,6 +1,7 @@
 """License scan: sparse TF-IDF cosine of header lines and licence files to templates, then inheritance from the nearest ancestor directory by path joins.
 
-Frequencies of the templates' words are counted over the header lines of all documents. A document whose words mostly stand in header lines is a licence file of its directory. A document without a
+Frequencies of the templates' words are counted over the header lines of all documents. A document is a licence file of its directory if most of its text is that of a whole
+licence (license_texts), if its name says so and it has a licence, or if its words mostly stand in header lines. A document without a
 licence of its own takes that of the nearest directory above it that has one. Defined cases: null or empty text has no header; a null path lies in the root directory; of several licence files in
 a directory the best, then the smallest name, counts; repeated rows get a row each. No rows: no rows.
 """
@@ -11,6 +12,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,6 +33,28 @@ TEMPLATES = {
 LINE = re.compile(r"licen[cs]|copyright|spdx|permission is hereby|redistribution and use", re.I)
 WORD = re.compile(r"[a-z]+|\d+(?:\.\d+)?")
 LEAST = 0.45
+#: Base names of licence files, the least share of a text's word 4-grams that a whole licence must hold, and the fewest words for that.
+NAME = r"(?i)^(licen[cs]e|copying)([-._].*)?$"
+COVER, GRAM, FEWEST = 0.5, 4, 50
+
+
+def whole_texts() -> dict[str, frozenset[str]]:
+    """The word 4-grams of each whole licence text."""
+    return {p.stem: frozenset(grams(p.read_text())) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
+def grams(text: str) -> list[str]:
+    words = WORD.findall(text.lower())
+    return [" ".join(words[i : i + GRAM]) for i in range(len(words) - GRAM + 1)]
+
+
+def whole(text: str, known: dict[str, frozenset[str]]) -> tuple[str | None, float]:
+    """The licence whose whole text holds most of this text's 4-grams, and their share; none below COVER."""
+    got = grams(text) if LINE.search(text) else []
+    if len(got) + GRAM - 1 < FEWEST:
+        return None, 0.0
+    name, share = max(((k, sum(g in t for g in got) / len(got)) for k, t in known.items()), key=lambda x: x[1])
+    return (name, share) if share >= COVER else (None, 0.0)
 
 
 def header(text: str) -> tuple[list[str], float]:
@@ -62,26 +86,28 @@ def licenses(docs: DataFrame, path: Column, least: float = LEAST) -> DataFrame:
     """doc_id, path, license, score, origin: 'own', 'inherited' or 'none'."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col("text").cast("string").alias("text"))
 
+    known = whole_texts()
+
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [header(t) for t in texts(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("path"), pa.array([w for w, _ in got], pa.list_(pa.string())), pa.array([s for _, s in got], pa.float64())], ["doc_id", "path", "words", "share"])
+            got = [(*header(t), *whole(t, known)) for t in texts(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("path"), pa.array([x[0] for x in got], pa.list_(pa.string())), *[pa.array([x[k] for x in got], kind) for k, kind in ((1, pa.float64()), (2, pa.string()), (3, pa.float64()))]], ["doc_id", "path", "words", "share", "file", "cover"])
 
-    found = staged(rows.mapInArrow(heads, "doc_id long, path string, words array<string>, share double"), "headers")
+    found = staged(rows.mapInArrow(heads, "doc_id long, path string, words array<string>, share double, file string, cover double"), "headers")
     vocabulary = sorted(Model({}, 0).idf)
     df = {w: n for w, n in found.select(F.explode(F.array_distinct("words")).alias("w")).where(F.col("w").isin(vocabulary)).groupBy("w").count().collect()}  # bounded by the templates
     model = Model(df, found.where(F.size("words") > 0).count())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [model.best(w) for w in b.column("words").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("path"), b.column("share"), pa.array([k if s >= least else None for k, s in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "path", "share", "own", "score"])
+            got = [(f, c) if f else model.best(w) for w, f, c in zip(*(b.column(k).to_pylist() for k in ("words", "file", "cover")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("path"), b.column("share"), b.column("file"), pa.array([k if s >= least else None for k, s in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "path", "share", "file", "own", "score"])
 
-    own = found.mapInArrow(score, "doc_id long, path string, share double, own string, score double").withColumn("score", F.round("score", 6))
+    own = found.mapInArrow(score, "doc_id long, path string, share double, file string, own string, score double").withColumn("score", F.round("score", 6))
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.concat_ws("/", F.slice(parts, F.lit(1), k)))
     own = own.withColumns({"dirs": above, "dir": F.element_at(above, -1)})
-    granted = own.where("own is not null and share >= 0.5").groupBy("dir").agg(F.max_by(F.struct("own", "score"), F.struct(F.col("score"), F.col("own"))).alias("g"))
+    granted = own.where(F.col("own").isNotNull() & ((F.col("share") >= 0.5) | F.col("file").isNotNull() | F.element_at(parts, -1).rlike(NAME))).groupBy("dir").agg(F.max_by(F.struct("own", "score"), F.struct(F.col("score"), F.col("own"))).alias("g"))
     dirs = own.select("dir", "dirs").distinct().select(F.col("dir").alias("of"), F.posexplode("dirs").alias("depth", "dir"))
     nearest = dirs.join(granted, "dir").groupBy(F.col("of").alias("dir")).agg(F.max_by("g", "depth").alias("g"))  # one row for each directory, not for each document
     out = own.join(nearest, "dir", "left")
