@@ -80,3 +80,9 @@ def test_whole_licence_files_grant(spark):
     for i, k in enumerate(names):
         assert [got[10 * i + j] for j in range(4)] == [(k, "own"), (k, "own"), (k, "inherited"), (k, "inherited")]
     assert got[91] == ("CC-BY-4.0", "inherited") and got[93] == (None, "none")
+
+
+def test_quoted_line_repeated_in_an_earlier_conversation(spark):
+    rows = [(1, 0, "user", "> The sky is often blue here.\nThe sky is often blue here."), (2, 3, "user", "The sky is often blue here."), (3, 1, "user", "The sky is often blue here.")]
+    got = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn) for r in chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {(1, 0): (2, 3), (2, 3): (None, None), (3, 1): (None, None)}

@@ -62,9 +62,11 @@ def conversations(messages: DataFrame) -> DataFrame:
     lines = said.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("own").alias("h")).join(sought, "h", "left_semi")
     here = lines.groupBy("conv_id", "h").agg(F.min("turn").alias("at"))
     anywhere = lines.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("f"))
-    linked = asked.join(here, ["conv_id", "h"], "left").join(anywhere, "h", "left")
+    # the first occurrence outside the conversation of the first one, for quotations in that conversation itself
+    elsewhere = here.join(anywhere, "h").where(F.col("conv_id") != F.col("f.conv_id")).groupBy("h").agg(F.min(F.struct("conv_id", F.col("at").alias("turn"))).alias("g"))
+    linked = asked.join(here, ["conv_id", "h"], "left").join(anywhere.join(elsewhere, "h", "left"), "h", "left")
     inside = F.col("at") < F.col("turn")
-    outside = F.when(F.col("f.conv_id") != F.col("conv_id"), F.struct("f.conv_id", "f.turn"))
+    outside = F.when(F.col("f.conv_id") != F.col("conv_id"), F.struct("f.conv_id", "f.turn")).otherwise(F.col("g"))
     choice = F.min(F.when(inside, F.struct(F.col("level"), (-F.col("at")).alias("k")))).alias("near"), F.min(F.when(outside.isNotNull(), F.struct(F.col("level"), outside.alias("o")))).alias("far")
     parents = linked.groupBy("conv_id", "turn").agg(*choice)
     parents = staged(parents.select("conv_id", "turn", F.when(F.col("near").isNotNull(), F.col("conv_id")).otherwise(F.col("far.o.conv_id")).alias("parent_conv"), F.coalesce(-F.col("near.k"), F.col("far.o.turn")).alias("parent_turn")).where("parent_turn is not null"), "parents")
