@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tidegrid.llm import chat, licenses, tokencount
-from tidegrid.llm.packing import encoder
+from tidegrid.llm.packing import reference_encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -42,33 +42,69 @@ def test_licenses(spark):
     assert licenses.licenses(df.limit(0), F.col("path")).collect() == []
 
 
+def whole(text):
+    """What the tokenizer file itself says."""
+    return len(reference_encoder(PATH).encode(text, add_special_tokens=False).ids)
+
+
 def test_trees_equal_whole_counts():
     rng = np.random.default_rng(5)
-    count, enc = tokencount.Counter(PATH), encoder(PATH)
-    part = lambda n: "".join(np.array(list("ab c  \n\n'st1é,.\t x")) [k] for k in rng.integers(0, 18, n))  # noqa: E731, E211
+    count = tokencount.Counter(PATH)
+    signs = ["a", "b", "c", " ", " ", "\n", "\n", "\n", "'", "s", "t", "1", "é", ",", ".", "\t", " x", "<|endoftext|>", "<|endof", "text|>", "aaaaaaaaaaaaaaaa", "        ", "12345678", "!?!?!?!?"]
+    part = lambda n: "".join(signs[k] for k in rng.integers(0, len(signs), n))
     for _ in range(150):
         tree = tokencount.Tree(part(rng.integers(0, 1500)), count)
-        assert tree.total == len(enc.encode_ordinary(tree.text))
+        assert tree.total == whole(tree.text)
         for _ in range(6):
             a = int(rng.integers(0, len(tree.text) + 2))
             before = tree.text
             b, new = a + int(rng.integers(0, 40)), part(rng.integers(0, 30))
             tree.edit(a, b, new)
-            assert tree.text == before[:a] + new + before[b:] and tree.total == len(enc.encode_ordinary(tree.text))
+            assert tree.text == before[:a] + new + before[b:] and tree.total == whole(tree.text)
+            assert all(p <= tokencount.LEAF for _, p, _ in tree.sizes()) and tree.root is None or tree.root.height <= 2 * len(tree.sizes()).bit_length() + 2
+
+
+def test_edits_of_a_long_text_stay_local():
+    rng = np.random.default_rng(6)
+    words = [f"{w}{k}" for k in range(300) for w in ("the", "Haus", "niño", "x")]
+    text = " ".join(words[k] for k in rng.integers(0, len(words), 60_000))
+    tree = tokencount.Tree(text, tokencount.Counter(PATH))
+    for _ in range(200):
+        a = int(rng.integers(0, tree.root.chars))
+        tree.edit(a, a + int(rng.integers(0, 12)), " new words here")
+    assert tree.encoded < 200 * 6 * tokencount.LEAF and tree.total == whole(tree.text)
+    sizes = tree.sizes()
+    again = tokencount.Tree(tree.text, tree.count, sizes)
+    assert again.total == tree.total and max(p for _, p, _ in sizes) <= tokencount.LEAF and tree.root.height <= 2 * len(sizes).bit_length()
 
 
 def test_counts_on_documents(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(None, None), (9999, "")], "doc_id long, text string"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(None, None), (9999, ""), (9998, "a<|endoftext|> b"), (9998, "a<|endoftext|> b")], "doc_id long, text string"))
     text = {r.doc_id: r.text or "" for r in docs.collect()}
-    enc = encoder(PATH)
-    for r in tokencount.counted(docs, PATH, tokencount.stated_edits).collect():
+    rows = tokencount.counted(docs.withColumns({"leaves": F.lit(1), "n_tokens": F.lit("x"), "edits": F.lit(2)}), PATH).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
         t = text[r.doc_id]
-        assert r.n_tokens == len(enc.encode_ordinary(t))
-        for a, b, new in tokencount.stated_edits(t):
-            a, b = max(0, min(a, len(t))), max(0, min(b, len(t)))
-            t = t[:a] + new + t[max(a, b) :]
-        assert r.n_after == len(enc.encode_ordinary(t)) and (r.n_pieces < 300 or r.n_encoded < r.n_pieces / 4)
-    assert tokencount.counted(docs.limit(0), PATH, tokencount.stated_edits).collect() == []
+        n = len(t)
+        assert r.n_tokens == whole(t)
+        t = t[: n // 2] + " revised" + t[min(n // 2 + 7, n) :]
+        t = "Note:\n" + t
+        a, b = max(0, min(n - 9, len(t))), min(n + 1, len(t))
+        t = t[:a] + t[max(a, b) :]
+        assert r.n_after == whole(t) and (r.n_pieces < 4000 or r.n_encoded < r.n_pieces / 3)
+    assert tokencount.counted(docs.limit(0), PATH).collect() == []
+
+
+def test_edits_as_a_table(spark):
+    rows = [(1, "one two three four"), (1, "another text of the same id"), (2, "never touched"), (None, "no id"), (3, None), (4, "word " * 5000)]
+    edits = [(1, 2, 0, 3, "ONE"), (1, 1, 4, 7, "2"), (1, 2, 0, 3, "ONE"), (3, 1, 5, 2, "grown"), (3, 2, None, None, "!"), (4, 1, 10, 10**9, None), (None, 1, 0, 1, "x"), (77, 1, 0, 1, "x"), (4, None, 0, 0, "last ")]
+    kept = tokencount.trees(spark.createDataFrame([(*r, "e") for r in rows], "doc_id long, text string, edits string"), PATH)
+    table = spark.createDataFrame(edits, "doc_id long, seq long, start long, end long, text string").repartition(5)
+    got = tokencount.edited(kept, table, PATH).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("1", "ONE 2 three four"), ("1", "ONEt2 text of the same id"), ("2", "never touched"), ("None", "no id"), ("3", "grown!"), ("4", "last word word ")])
+    assert all(r.n_tokens == whole(r.text) and sum(x.tokens for x in r.leaves) == r.n_tokens and sum(x.chars for x in r.leaves) == len(r.text) for r in got)
+    assert {r.doc_id: r.n_encoded for r in got}[2] == 0
+    assert tokencount.edited(kept.limit(0), table, PATH).collect() == [] and tokencount.edited(kept, table.limit(0), PATH).count() == len(rows)
 
 
 def test_whole_licence_files_grant(spark):

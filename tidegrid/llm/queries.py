@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import chat, decontaminate, licenses, packing, quality, secrets, simhash, suffix, tokencount, toxicity
-from tidegrid.llm.common import table
+from tidegrid.llm.common import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,7 +58,8 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.counted(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), tokencount.stated_edits)
+    """The trees of all documents as a table, then three stated edits of each document from that table."""
+    return tokencount.counted(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), store=lambda df: staged(df, "trees"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_quality, op4_suffix, op5_decontamination, op6_packing, op7_secrets, op8_chat, op9_licenses, op10_tokencount)}
