@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python step holds as numpy arrays at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +32,24 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends here, and a lost executor costs no more than its tasks."""
-    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df to the shared folder and reads it again: lineage ends here, a lost executor costs no more than its tasks, and the shuffle files of the write go with its end."""
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def new_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as make it differ from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def remove(df: DataFrame) -> None:

@@ -1,7 +1,6 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked within a few bits by the pigeonring principle.
 
-`fingerprints` gives one 64-bit fingerprint a document, `links` all pairs of classes of equal fingerprints within `bits` bits (or, inside
-crowded buckets, links through common neighbours that join the same fingerprints), `near_duplicates` a component for each document.
+`fingerprints` gives one 64-bit fingerprint a document, `links` all pairs of classes of equal fingerprints within `bits` bits, `near_duplicates` a component for each document.
 
 Defined cases: null and empty texts and texts without words have the fingerprint zero, linked like any other. Rows with the same doc_id are rows of their
 own. A null doc_id keeps its row and takes part; component_id is the smallest doc_id that isn't null (null if there is none). No rows: no rows.
@@ -10,21 +9,21 @@ Columns other than doc_id and text are not read, so clashing names do no harm.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm import overlap
-from tidegrid.llm.common import staged, utf8
+from tidegrid.llm.common import new_name, staged, utf8
 from tidegrid.llm.components import components
 
-#: Fingerprints in a bucket that are compared pair by pair; a larger bucket is linked through neighbours, exactly too.
-PAIRWISE = 64
+#: Fingerprints in a bucket that are compared pair by pair; a larger bucket is dealt out to finer ones.
+BUCKET = 64
 
 
 def simhash(data: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -57,52 +56,68 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _segments(bits: int) -> list[tuple[int, int]]:
-    """2 * bits + 1 segments of the 64 bits as (shift, width). With so many, each chain of two neighbours has a budget below 1."""
+def _ring(places: list[int], bits: int) -> list[list[int]]:
+    """A ring of bit places in 2 * bits + 1 segments of neighbours. With so many, every chain of two neighbouring segments has a budget below 1."""
     m = 2 * bits + 1
-    cuts = [64 * i // m for i in range(m + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    cuts = [len(places) * i // m for i in range(m + 1)]
+    return [places[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def links(distinct: DataFrame, bits: int = 2, pairwise: int = PAIRWISE) -> DataFrame:
-    """Distinct fingerprints (fp) -> links (u, v), u > v, whose components are those of all pairs within `bits` bits.
+def _mask(places: Iterable[int]) -> int:
+    x = sum(1 << j for j in places)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _paths(bits: int) -> Iterator[list[tuple[int, int, int, int]]]:
+    """For each level the paths (parent, path, first start, mask of the places that agree): a path adds to its parent a chain of two segments of the ring of the other places."""
+    level = [(0, 0, [])]
+    while True:
+        out = []
+        for parent, first, agreed in level:
+            rest = [j for j in range(64) if j not in agreed]
+            ring = _ring(rest, bits)
+            for i in range(len(ring)):
+                chain = ring[i] + ring[(i + 1) % len(ring)] * (len(ring) > 1)
+                out.append((parent, len(out), i if not agreed else first, agreed + chain))
+        yield [(parent, path, first, _mask(agreed)) for parent, path, first, agreed in out]
+        level = [(path, first, agreed) for _, path, first, agreed in out]
+
+
+def links(distinct: DataFrame, bits: int = 2, bucket: int = BUCKET) -> DataFrame:
+    """Distinct fingerprints (fp) -> all links (u, v), u > v, of pairs within `bits` bits.
 
     Pigeonring: around the ring of m = 2 * bits + 1 segments, a pair within `bits` has a start from which every chain of l consecutive segments differs in at
-    most l * bits / m bits. Chains of one and two segments then differ nowhere, so start and value of two neighbouring segments (about 2 * 64 / m bits) are the bucket;
-    the longer chains are tested on the pair before the whole distance is. In a bucket of over `pairwise` fingerprints no pairs are made: two
-    fingerprints are within `bits` exactly if some word lies within bits // 2 of one and within the rest of the other, so each is linked to the least
-    fingerprint at each such word, a number of rows in proportion to the bucket.
+    most l * bits / m bits. Chains of one and two segments then differ nowhere, so start and value of two neighbouring segments (2 * 64 / m places) are the bucket; the
+    longer chains are tested on the pair before the whole distance is. A bucket of over `bucket` fingerprints is dealt out anew by the same principle: its pairs are within
+    `bits` on the places that the bucket leaves open, which are a ring too. Each level leaves (m - 2) / m of the places open, so rows of a crowded bucket grow by m a level, and
+    with log2(bucket) open places no bucket can be crowded. `bucket` counts as 2 ** (2 * bits) at least, so that each level has a place for each segment.
     """
-    segments = _segments(bits)
-    m = len(segments)
-    part = lambda c, i: F.shiftrightunsigned(c, segments[i % m][0]).bitwiseAND(F.lit((1 << segments[i % m][1]) - 1))
-    keys = F.array(*[F.xxhash64(F.lit(i), part(F.col("fp"), i), part(F.col("fp"), i + 1)) for i in range(m)])
-    keyed = distinct.select("fp", F.posexplode(keys).alias("start", "key"))
-    sizes = keyed.groupBy("start", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    keyed = keyed.join(sizes, ["start", "key"])
-    few = keyed.where(F.col("n") <= pairwise).drop("n")
+    ring, bucket = _ring(list(range(64)), bits), max(bucket, 1 << 2 * bits)
+    m = len(ring)
+    segments = [(s[0], _mask(range(len(s)))) for s in ring]
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    diff = [F.bit_count(part(x, i)) for i in range(m)]
-    ring = F.lit(False)
+    diff = [F.bit_count(F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(width))) for shift, width in segments]
+    tests = []
     for i in range(m):
-        chain, test = F.lit(0), F.col("a.start") == i
+        chain, test = F.lit(0), F.lit(True)
         for step in range(m):
             chain = chain + diff[(i + step) % m]
             if step >= 1:
                 test = test & (chain <= (step + 1) * bits // m)
-        ring = ring | test
-    same = (F.col("a.start") == F.col("b.start")) & (F.col("a.key") == F.col("b.key"))
-    pairs = few.alias("a").join(few.alias("b"), same & (F.col("a.fp") > F.col("b.fp")) & ring & (F.bit_count(x) <= bits)).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    many = keyed.where(F.col("n") > pairwise).select("fp").distinct()
-    inner, outer = bits // 2, bits - bits // 2
-    masks = [sum(1 << j for j in c) for r in range(outer + 1) for c in combinations(range(64), r)]
-    signed = [x - (1 << 64) if x >> 63 else x for x in masks]
-    near = len([x for x in masks if x.bit_count() <= inner])
-    at = many.select("fp", F.posexplode(F.transform(F.array(*map(F.lit, signed)), lambda k: k.bitwiseXOR(F.col("fp")))).alias("i", "hub"))
-    least = at.where(F.col("i") < near).groupBy("hub").agg(F.min("fp").alias("v"))
-    counted = at.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(least, "hub").select("hub", "v")
-    hubs = at.join(counted, "hub").where("fp <> v").select(F.col("fp").alias("u"), "v")
-    return pairs.unionByName(hubs).distinct()
+        tests.append((F.col("a.first") == i) & test)
+    viable = reduce(Column.__or__, tests)
+    rows, pairs = distinct.select(F.lit(0).alias("path"), "fp"), []
+    for level in _paths(bits):
+        table = distinct.sparkSession.createDataFrame(level, "path int, next int, first int, mask long")  # m to the power of the level rows, whatever the input
+        rows = rows.join(F.broadcast(table), "path").select(F.col("next").alias("path"), "first", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+        sizes = rows.groupBy("path", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        keyed = staged(rows.join(sizes, ["path", "key"]), "buckets")
+        few = keyed.where(F.col("n") <= bucket)
+        same = (F.col("a.path") == F.col("b.path")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") > F.col("b.fp"))
+        pairs.append(few.alias("a").join(few.alias("b"), same & viable & (F.bit_count(x) <= bits)).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")))
+        rows = keyed.where(F.col("n") > bucket).select("path", "fp")
+        if not rows.take(1):
+            return reduce(DataFrame.unionByName, pairs).distinct()
 
 
 def near_duplicates(docs: DataFrame, bits: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -123,4 +138,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Components are those of 5-word shingles with a Jaccard similarity of 0.8 or more (tidegrid/llm/overlap.py): so far apart fingerprints differ in up to about
     a quarter of their bits, too many for buckets of them.
     """
-    return docs.join(overlap.kept_ids(docs), F.expr("doc_id <=> kept_id"), "left_semi")
+    name = new_name(docs, "kept_id")
+    return docs.join(overlap.kept_ids(docs).withColumnRenamed("kept_id", name), F.expr(f"doc_id <=> {name}"), "left_semi")
