@@ -1,4 +1,5 @@
 import re
+import time
 import zlib
 
 import numpy as np
@@ -68,6 +69,60 @@ def test_toxicity_odd(spark):
     assert toxicity.toxicity(frame(spark, []), labels).collect() == []
 
 
+def plain_features(text, lexicon):
+    """The features by direct definition, character by character and word by word."""
+    low = text.lower()
+    words = re.findall(r"[^\W\d_]+", low)
+    n, size, letters = max(len(words), 1), max(len(text), 1), max(sum(map(len, words)), 1)
+
+    def score(w):
+        return max(lexicon[w[:k]] for k in range(4, 8) if w[:k] in lexicon) if w[:4] in lexicon else None
+
+    told = [score(w) for w in words]
+    got = [x for x in told if x is not None] or [0.0]
+    marked = [i for i, (w, x) in enumerate(zip(words, told, strict=True)) if w in toxicity.INSULTS or (x is not None and x > 2)]
+    you = [i for i, w in enumerate(words) if w in toxicity.SECOND]
+    mixed = []
+    for t in low.split():
+        at = next((i for i, c in enumerate(t) if c in "0123456789@$!*+|"), None)
+        if at is not None and any(re.match(r"[^\W\d_]", c) for c in t[at + 1 :]):
+            mixed.append(t)
+    plain = [[w for w in re.findall(r"[^\W\d_]+", t.translate(toxicity.LEET))] for t in mixed]
+    hidden = sum(any(w in toxicity.INSULTS or (score(w) or 0) > 2 for w in ws) for ws in plain)
+    base, counts = sum(w in toxicity.INSULTS for w in words), [sum(x > c for x in got) for c in (1, 2, 3)]
+    return [
+        np.log1p(len(words)), base / n, min(base, 20), sum(got) / n, max(got), *[c / n for c in counts], *[np.log1p(c) for c in counts], len({w[:6] for w, x in zip(words, told, strict=True) if x is not None and x > 2}),
+        max([sum(m <= j <= m + 29 for j in marked) for m in marked], default=0), len(you) / n, np.mean([min(abs(y - m) for y in you) <= 5 for m in marked]) if you and marked else 0, sum(c.isupper() for c in text) / letters,
+        len(re.findall(r"\b[A-Z]{3,}\b", text)) / n, text.count("!") / size, text.count("?") / size, sum(c in ".,;:'\"()-" for c in text) / size, sum(c in "#*$%&|<>@" for c in text) / size, len(mixed) / n, hidden / n,
+        len(re.findall(r"\b(?:[^\W\d_][.\-_* ]){3,}[^\W\d_]\b", low)) / n, len(re.findall(r"([^\W\d_])\1\1", low)) / n, sum(c.isdigit() for c in text) / size, letters / n, len(set(words)) / n,
+    ]
+
+
+def test_features_against_plain_version(spark):
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    lexicon = {"fool": 2.5, "foolis": 3.1, "wort": 0.8, "wertl": 1.2, "wert": 0.0, "trash": 2.2, "tras": 0.0, "stup": 2.4}
+    odd = ["", " ", "You f00lish 1d10t, y0u tr@sh!! STOP", "s.t.u.p.i.d İstanbul ẞ ²³ \ud7ff 𝔘pper", "aaa" * 50, "du wertlos\u00adig $$$ b*stard?"]
+    words = toxicity.Words(lexicon)
+    for t in [*docs, *odd]:
+        assert toxicity.features(t, words) == pytest.approx([float(x) for x in plain_features(t, lexicon)], rel=1e-9, abs=1e-12)
+
+
+@pytest.mark.parametrize("unit", ["7", "a", "1a", "$", " ", "a.", "a_", "!?", "A", "é", "\n", "7 ", "@7"])
+def test_long_tokens_take_linear_time(unit):
+    words = toxicity.Words({"aaaa": 2.0})
+    toxicity.features("x", words)
+    began = time.perf_counter()
+    toxicity.features(unit * (100_000 // len(unit)), words)
+    assert time.perf_counter() - began < 1
+
+
+def test_toxicity_keeps_clashing_columns(spark):
+    labels = spark.createDataFrame([(1, None, 1), (2, 1, 0), (4, 0, 0), (9, 1, 1)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, ODD).withColumnRenamed("score", "Toxic_Score").withColumnRenamed("n_words", "toxic_score_")
+    kept = toxicity.without_toxic(docs, labels)
+    assert kept.columns == docs.columns and {r.Toxic_Score for r in kept.collect()} <= {1.0}
+
+
 def test_learners():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 5))
