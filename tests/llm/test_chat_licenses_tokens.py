@@ -16,20 +16,122 @@ def test_parse_levels():
     assert body == "answer\nend" and quoted == [(2, "deep"), (1, "mid one\nmid two"), (2, "again")]
 
 
+MESSAGE = "conv_id long, turn long, role string, text string"
+
+
+def plain_conversations(rows, lead):
+    """By direct search: parent of each message, then a depth-first walk. lead: for each row the number that orders those of one (conv_id, turn)."""
+    keys = sorted({(c, t, lead[c, t, *x]) for c, t, *x in rows if c is not None and t is not None})
+    text = {(c, t, lead[c, t, *x]): x[1] for c, t, *x in rows}
+    body, quoted = {}, {}
+    for k in keys:
+        body[k], quoted[k] = chat.parse(text[k] or "")
+    own = {k: set(chat.units(body[k])) for k in keys}
+    parent = {}
+    for k in keys:
+        near, far = [], []
+        for level, passage in quoted[k]:
+            for h, words in chat.units(passage).items():
+                inside = [o for o in keys if o[0] == k[0] and h in own[o]]
+                if inside and min(inside)[1] < k[1]:
+                    near.append((level, -min(inside)[1], min(inside)))
+                outside = [o for o in keys if o[0] != k[0] and h in own[o]]
+                if words >= chat.FAR_WORDS and outside:
+                    far.append((level, -words, min(outside)))
+        if near or far:
+            parent[k] = min(near)[2] if near else min(far)[2]
+    up = dict(parent)
+    for k in keys:  # in order, so the smallest of a circle is met first
+        seen, at = [k], up.get(k)
+        while at is not None and at not in seen:
+            seen.append(at)
+            at = up.get(at)
+        if at is not None:
+            del up[min(seen[seen.index(at) :])]
+    kids = {}
+    for k, p in sorted(up.items()):
+        kids.setdefault(p, []).append(k)
+    place = {}
+    for root in (k for k in keys if k not in up):
+        stack, n = [(root, 0)], 0
+        while stack:
+            k, depth = stack.pop()
+            place[k] = (root, depth, n)
+            n += 1
+            stack += [(x, depth + 1) for x in reversed(kids.get(k, []))]
+    out = []
+    for c, t, *x in rows:
+        k = (c, t, lead[c, t, *x])
+        root, depth, n = place.get(k, ((c, t), 0, 0))
+        out.append((c, t, x[0], chat.parse(x[1] or "")[0], *(parent[k][:2] if k in parent else (None, None)), *root[:2], depth, n))
+    return out
+
+
+def said(df):
+    return [(r.conv_id, r.turn, r.role, r.body, r.parent_conv, r.parent_turn, r.root_conv, r.root_turn, r.depth, r.position) for r in chat.conversations(df).collect()]
+
+
 def test_conversations(spark):
     rows = [
-        (1, 0, "user", "How do I  sort?"), (1, 1, "assistant", "Use sorted().\nIt is stable."), (1, 2, "user", "> use Sorted()\nThanks"), (1, 3, "assistant", ">> Use sorted().\n> thanks\nWelcome"),
-        (2, 0, "user", "> It is stable.\nReally?"), (2, 1, "user", None), (2, 2, "user", "> nobody said this\nx"), (None, 0, "user", "> Thanks\ny"),
+        (1, 0, "user", "How do I  sort?"), (1, 1, "assistant", "Use sorted().\nIt is a stable sort."), (1, 2, "user", "> use Sorted()\nThanks"), (1, 3, "assistant", ">> Use sorted().\n> thanks\nWelcome"),
+        (2, 0, "user", "> It is a stable sort.\nReally?"), (2, 1, "user", None), (2, 2, "user", "> nobody said this\nx"), (None, 0, "user", "> Thanks\ny"), (3, 0, "user", "> Welcome\nshort units stay at home"),
     ]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, depth int")
-    got = {(r.conv_id, r.turn): (r.body, r.parent_conv, r.parent_turn, r.root_turn, r.depth) for r in chat.conversations(df).collect()}
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], MESSAGE + ", depth int, M int")
+    got = {(r.conv_id, r.turn): (r.body, r.parent_conv, r.parent_turn, r.root_conv, r.root_turn, r.depth, r.position) for r in chat.conversations(df).collect()}
     assert got == {
-        (1, 0): ("How do I  sort?", None, None, 0, 0), (1, 1): ("Use sorted().\nIt is stable.", None, None, 1, 0), (1, 2): ("Thanks", 1, 1, 1, 1), (1, 3): ("Welcome", 1, 2, 1, 2),
-        (2, 0): ("Really?", 1, 1, 0, 0), (2, 1): ("", None, None, 1, 0), (2, 2): ("x", None, None, 2, 0), (None, 0): ("y", None, None, 0, 0),
+        (1, 0): ("How do I  sort?", None, None, 1, 0, 0, 0), (1, 1): ("Use sorted().\nIt is a stable sort.", None, None, 1, 1, 0, 0), (1, 2): ("Thanks", 1, 1, 1, 1, 1, 1), (1, 3): ("Welcome", 1, 2, 1, 1, 2, 2),
+        (2, 0): ("Really?", 1, 1, 1, 1, 1, 3), (2, 1): ("", None, None, 2, 1, 0, 0), (2, 2): ("x", None, None, 2, 2, 0, 0), (None, 0): ("y", None, None, None, 0, 0, 0), (3, 0): ("short units stay at home", None, None, 3, 0, 0, 0),
     }
     assert chat.conversations(df.limit(0)).collect() == []
 
 
+def planted(seed, conversations=12, turns=14):
+    """Messages with known parents: quotations of one to three levels, whole, by lines or with a changed sentence, a line that everyone writes, chains, and quotations of other conversations."""
+    rng = np.random.default_rng(seed)
+    fresh = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**7, n)) + "."
+    rows, want = [], {}
+    for c in range(conversations):
+        for t in range(turns):
+            text = "\n".join(fresh(int(rng.integers(5, 9))) + " " + fresh(6) for _ in range(int(rng.integers(1, 4)))) + "\nOk, thanks."
+            if rows and (t or rng.random() < 0.4) and rng.random() < 0.8:
+                own = [r for r in rows if r[0] == c]
+                p = own[-1] if own and rng.random() < 0.5 else own[rng.integers(len(own))] if own else rows[rng.integers(len(rows))]
+                lines = [x for x in p[3].split("\n") if x != "Ok, thanks."]
+                body = [x for x in lines if not x.startswith(">")]
+                kind = rng.integers(3)
+                cut = body if kind == 0 else body[:1] if kind == 1 else [body[0].replace(body[0].split(" ")[0], "changed", 1)]
+                deeper = [">" + x for x in lines if x.startswith(">")]
+                text = "\n".join([*deeper, *(f"> {x.upper()}" for x in cut), text])
+                want[c, t] = p[:2]
+            rows.append((c, t, "user", text))
+    return rows, want
+
+
+def test_conversations_against_brute_force_and_plan(spark):
+    for seed in (1, 2):
+        rows, want = planted(seed)
+        rows += rows[5:8] + [(0, 3, "tool", rows[3][3] + "\nanother text of the same turn"), (2, None, "user", "x"), (4, 0, "x", "> one two three four five six\nseven eight nine ten"), (5, 0, "x", "> seven eight nine ten\none two three four five six")]
+        df = spark.createDataFrame(rows, MESSAGE).repartition(7)
+        got = said(df)
+        lead = {tuple(r)[:4]: r.x for r in df.withColumn("x", F.xxhash64("role", "text")).collect()}
+        assert sorted(map(str, got)) == sorted(map(str, plain_conversations(rows, lead)))
+        clear = {k: v for k, v in want.items() if k not in {(0, 3), (4, 0), (5, 0)}}
+        links = {r[:2]: r[4:6] for r in got if r[4] is not None}
+        right = sum(links.get(k) == v for k, v in clear.items())
+        assert right / len(clear) > 0.97 and right / len([k for k in links if k in clear or k not in want]) > 0.95
+
+
+def test_long_chains_hot_messages_and_circles(spark):
+    line = lambda i: f"message number {i} says something of its own"
+    chain = [(1, i, "u", (f"> {line(i - 1)}\n" if i else "") + line(i)) for i in range(150)]
+    hot = [(2, 0, "u", "everybody answers this first message")] + [(2, i, "u", f"> everybody answers this first message\nanswer {i}") for i in range(1, 200)]
+    circle = [(10 + i, 0, "u", f"> the words of conversation {(i + 1) % 5} quoted around\nthe words of conversation {i} quoted around") for i in range(5)]
+    got = {r[:2]: r for r in said(spark.createDataFrame(chain + hot + circle, MESSAGE).repartition(9))}
+    assert all(got[1, i][6:] == (1, 0, i, i) for i in range(150))
+    assert all(got[2, i][6:] == (2, 0, min(i, 1), i) for i in range(200))
+    assert [got[10 + i, 0][6:] for i in range(5)] == [(10, 0, 0, 0)] + [(10, 0, 5 - i, 5 - i) for i in range(1, 5)] and got[10, 0][4:6] == (11, 0)
+
+
 def test_licenses(spark):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x", "plain text here"), (3, "a/b/LICENSE", "Licensed under the Apache License, Version 2.0."), (4, "a/b/c/y", "none"),
