@@ -1,5 +1,6 @@
+import math
+import re
 import textwrap
-from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -132,16 +133,81 @@ def test_long_chains_hot_messages_and_circles(spark):
     assert [got[10 + i, 0][6:] for i in range(5)] == [(10, 0, 0, 0)] + [(10, 0, 5 - i, 5 - i) for i in range(1, 5)] and got[10, 0][4:6] == (11, 0)
 
 
+LICENSE_ROWS = [
+    (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x", "plain text here"), (3, "a/b/LICENSE", "Licensed under the Apache License, Version 2.0."), (4, "a/b/c/y", "none"),
+    (5, "z/q", "words " * 50 + "\nLicensed under CC BY-NC 4.0."), (6, "z/r", None), (7, None, ""), (8, "a/k", "This work is licensed under the GNU General Public License, version 3."),
+    (9, "u/LICENSE", "This is licensed under the ISC License."), (10, "u/v", "x"), (11, "w/COPYING", "GNU Lesser General Public License version 2.1"), (12, "w/v/v", "x"), (13, "p/LICENSE", "Licensed under the Foo Public License. All rights reserved."), (14, "p/x", None),
+    (15, "t/LICENSE", "Licensed under CC BY 4.0"), (15, "t/LICENSE.txt", "Released under the MIT License"), (16, "t/x", "tie"), (16, "t/x", "tie"), (None, "t/y", "null id"), (17, "r/x", "see LICENSE, version 2, of the GNU General Public License version 2 (or 3)"),
+    (18, "r/x", "either version 3 of the License\n * under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or later"), (19, "r/y", "// SPDX-License-Identifier: LGPL-3.0-or-later"), (20, "r/z", "a driving licence is required " * 40),
+]
+
+
+def plain_licenses(rows):
+    """Each window near a licence word against each template by the definition, then a walk up the directories."""
+
+    def weighed(ws, templates):
+        n = len(templates)
+        v = {w: (1 + math.log(ws.count(w))) * (math.log((n + 1) / (sum(w in t for t in templates) + 1)) + 0.1 if any(w in t for t in templates) else math.log(n + 1) + 0.1) for w in set(ws)}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {w: x / size for w, x in v.items()}
+
+    cosine = lambda x, y: sum(x[w] * y[w] for w in x if w in y)
+    heads = [(k, licenses.words(t)) for k, ts in licenses.TEMPLATES.items() for t in ts]
+    texts = [(k, licenses.words(licenses.OWNER.sub(" ", t))) for k, t in licenses.whole_texts().items()]
+    longest = max(len(w) for _, w in heads)
+    found = []
+    for d, path, text in rows:
+        got, ws = (None, 0.0, False), licenses.words(text or "")
+        if licenses.TRIGGER.search(text or ""):
+            bare = weighed(licenses.words(licenses.OWNER.sub(" ", text)), [w for _, w in texts])
+            best = max(((round(cosine(bare, weighed(w, [t for _, t in texts])), 9), k) for k, w in texts))
+            if best[0] >= licenses.FULL:
+                got = best[1], best[0], True
+            else:
+                near = [i for i in range(len(ws)) if any(w.startswith(licenses.LEADS) for w in ws[max(0, i - longest) : i + longest + 1])]
+                every = [(round(cosine(weighed(ws[i : i + len(w)], [t for _, t in heads]), weighed(w, [t for _, t in heads])), 9), -i, len(w), k) for i in near for k, w in heads if ws[i] in w]
+                top = max(every, key=lambda r: r[:3], default=(0.0, 0, 0, None))
+                got = (top[3] if top[0] >= licenses.LEAST else None), top[0], False
+        found.append((d, path or "", *got))
+    files = {}
+    for _, path, k, score, full in found:
+        if k and (full or re.search(licenses.NAME, path.split("/")[-1])):
+            files.setdefault(path.rpartition("/")[0], []).append((-round(score, 6), k))
+    out = []
+    for d, path, k, score, _ in found:
+        at, origin = path.rpartition("/")[0], "own" if k else "none"
+        while not k and origin == "none":
+            if at in files:
+                (minus, k), origin = min(files[at]), "inherited"
+                score = -minus
+            elif not at:
+                break
+            at = at.rpartition("/")[0]
+        out.append((d, path, k, round(score, 5) if k else 0.0, origin))
+    return out
+
+
+def licensed(spark, rows):
+    df = spark.createDataFrame([(*r, 0.5, "x", "d") for r in rows], "doc_id long, path string, text string, score double, own string, dir string")
+    return [(r.doc_id, r.path, r.license, round(r.score, 5) if r.license else 0.0, r.origin) for r in licenses.licenses(df, F.col("path")).collect()]
+
+
 def test_licenses(spark):
-    rows = [
-        (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x", "plain text here"), (3, "a/b/LICENSE", "Licensed under the Apache License, Version 2.0."), (4, "a/b/c/y", "none"),
-        (5, "z/q", "words " * 50 + "\nLicensed under CC BY-NC 4.0."), (6, "z/r", None), (7, None, ""), (8, "a/k", "This work is licensed under the GNU General Public License, version 3."),
-    ]
-    df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, path string, text string, score double")
-    got = {r.doc_id: (r.license, r.origin) for r in licenses.licenses(df, F.col("path")).collect()}
-    assert got[1] == ("MIT", "own") and got[3] == ("Apache-2.0", "own") and got[4] == ("Apache-2.0", "inherited") and got[2] == ("Apache-2.0", "inherited")
-    assert got[5] == ("CC-BY-NC-4.0", "own") and got[6] == (None, "none") and got[7] == (None, "none") and got[8] == ("GPL-3.0", "own")
-    assert licenses.licenses(df.limit(0), F.col("path")).collect() == []
+    got = licensed(spark, LICENSE_ROWS)
+    assert sorted(map(str, got)) == sorted(map(str, plain_licenses(LICENSE_ROWS)))
+    by = {(d, p): (k, o) for d, p, k, _, o in got}
+    assert by[1, "a/LICENSE"] == ("MIT", "own") and by[4, "a/b/c/y"] == by[2, "a/b/x"] == ("Apache-2.0", "inherited") and by[5, "z/q"] == ("CC-BY-NC-4.0", "own") and by[6, "z/r"] == by[7, ""] == (None, "none")
+    assert by[8, "a/k"] == ("GPL-3.0", "own") and by[9, "u/LICENSE"] == ("ISC", "own") and by[10, "u/v"] == ("ISC", "inherited") and by[12, "w/v/v"] == ("LGPL-2.1", "inherited") and by[13, "p/LICENSE"] == by[14, "p/x"] == (None, "none")
+    assert by[16, "t/x"] == by[None, "t/y"] == ("CC-BY-4.0", "inherited") and by[17, "r/x"] == ("GPL-2.0", "own") and by[18, "r/x"] == ("GPL-3.0", "own") and by[19, "r/y"] == ("LGPL-3.0", "own") and by[20, "r/z"] == (None, "none")
+    assert licensed(spark, []) == []
+
+
+def test_licenses_on_documents_and_long_texts(spark):
+    rows = [(r.doc_id, f"{r.source}/{r.doc_id}", r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(10**6, "long/x", "license " * 30_000), (10**6 + 1, "long/y", "word " * 200_000 + "Released under the MIT License")]
+    got = licensed(spark, rows)
+    assert {r[0]: r[2:] for r in got if r[0] < 10**6} == {r[0]: r[2:] for r in plain_licenses(rows[:-2])}
+    assert {r[0]: r[2] for r in got}[10**6] is None and {r[0]: r[2] for r in got}[10**6 + 1] == "MIT"
 
 
 def whole(text):
@@ -210,14 +276,14 @@ def test_edits_as_a_table(spark):
 
 
 def test_whole_licence_files_grant(spark):
-    folder, names = Path(licenses.__file__).parent / "license_texts", ["MIT", "Apache-2.0", "BSD-3-Clause", "GPL-3.0", "MPL-2.0"]
-    text = {k: "Copyright (c) 2021 Somebody Else and others\n\n" + "\n".join(textwrap.wrap((folder / f"{k}.txt").read_text(), 66)) for k in names}
-    rows = [x for i, k in enumerate(names) for x in ((10 * i, f"{k}/x/LICENSE-file", text[k]), (10 * i + 1, f"{k}/y/terms", text[k]), (10 * i + 2, f"{k}/x/a/b", "plain"), (10 * i + 3, f"{k}/y/c", "plain"))]
-    rows += [(90, "n/COPYING", "Licensed under CC BY 4.0.\n" + "other words " * 60), (91, "n/a", "plain"), (92, "o/readme", "Licensed under CC BY 4.0.\n" + "other words " * 60), (93, "o/a", "plain")]
-    got = {r.doc_id: (r.license, r.origin) for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).collect()}
-    for i, k in enumerate(names):
-        assert [got[10 * i + j] for j in range(4)] == [(k, "own"), (k, "own"), (k, "inherited"), (k, "inherited")]
-    assert got[91] == ("CC-BY-4.0", "inherited") and got[93] == (None, "none")
+    wholes = licenses.whole_texts()
+    text = {k: "Copyright (c) 2021 Somebody Else and others\n\n" + "\n".join(textwrap.wrap(t, 66)) for k, t in wholes.items()}
+    rows = [x for k in wholes for x in ((1, f"{k}/x/LICENSE-file", text[k]), (2, f"{k}/y/terms", text[k].replace("the", "the ", 3)), (3, f"{k}/x/a/b", "plain"), (4, f"{k}/y/c", "plain"), (5, f"{k}/z", "plain"))]
+    rows += [(90, "n/COPYING", "Licensed under CC BY 4.0.\n" + "other words " * 60), (91, "n/a", "plain"), (92, "o/readme", "Licensed under CC BY 4.0.\n" + "other words " * 60), (93, "o/a", "plain"), (94, "m/LICENSE", text["MIT"][:700] + " and other terms of our own that nobody has read " * 20)]
+    got = {r.path: (r.license, r.origin) for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).collect()}
+    for k in wholes:
+        assert [got[f"{k}/{p}"] for p in ("x/LICENSE-file", "y/terms", "x/a/b", "y/c", "z")] == [(k, "own"), (k, "own"), (k, "inherited"), (k, "inherited"), (None, "none")]
+    assert got["n/a"] == ("CC-BY-4.0", "inherited") and got["o/a"] == (None, "none") and got["m/LICENSE"] == ("MIT", "own")
 
 
 def test_quoted_line_repeated_in_an_earlier_conversation(spark):
