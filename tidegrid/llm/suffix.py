@@ -4,12 +4,15 @@ A transform of all suffixes of a corpus has no place in one task, so only text t
 
 1. Each window of LENGTH bytes is named by its least GRAM-byte gram (leftmost of equals). Windows in a row with the same gram form a phrase. Equal windows have equal grams at equal offsets, so
    a gram that occurs once rules its windows out, and only phrases of one gram need comparison (as in prefix-free parsing). Nothing is lost.
-2. Of equal phrases of a gram the first stays; all windows of the others start earlier too. The distinct phrases of grams with several are the dictionary.
+2. Of equal phrases of a gram the first stays; all windows of the others start earlier too. The distinct phrases of grams with several are the dictionary. Phrases count as equal if the 64-bit hashes of
+   both their grams and of themselves are, parts (4.) by 128 bits.
 3. The dictionary is split by gram. In a task it is cut into shards; each shard's suffixes are sorted once and give its transform. The shards are merged by iterative interleave refinement: after round
    k the interleaving is that of all suffixes ordered by their first 2k bytes, and a bit says where these differ from the ones before. After LENGTH / 2 rounds the runs without a bit are the
    intervals of common prefixes of LENGTH or more: the repeated windows. Suffixes are never sorted across shards.
    A window that two phrases share holds their gram and LENGTH - GRAM more bytes, at least half of these on one side; a phrase that agrees with no other on either half is left out before sorting.
-4. A gram with over CROWD distinct phrases (a passage in a great share of all documents, each with its own surroundings) is settled by 128-bit hashes of its windows, which are pre-aggregated before the shuffle.
+4. No task gets more than CROWD distinct phrases of one gram. The windows of a gram that has more (a passage in a great share of all documents, each with its own surroundings) are dealt out by how many
+   bytes they have before the gram: the windows of either half of that range hold a longer gram, by which they are grouped anew. Equal parts collapse to their first, longer grams that occur once fall away,
+   and what is left is sorted like any other gram's phrases, or halved again; a range of one is a whole window, so at most log2(LENGTH - GRAM) + 1 rounds follow.
 
 Order is by doc_id, then by a hash of the text for rows that share a doc_id, then by position. Defined cases: null text is empty; texts under LENGTH bytes lose nothing; rows equal in doc_id and
 text count as one row and get equal results; a null doc_id is ordered last. No rows: no rows. Only doc_id and text are read.
@@ -18,10 +21,10 @@ text count as one row and get equal results; a null doc_id is ordered last. No r
 from __future__ import annotations
 
 import functools
-import gc
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -216,9 +219,20 @@ def _docs(docs: DataFrame) -> DataFrame:
     return rows.join(shared, "d", "left").select("d", F.when(F.col("c").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0)).cast("long").alias("x"), "text", "doc_id")
 
 
-def _free(df: DataFrame) -> None:
-    gc.collect()  # so that the driver's JVM holds no frame for Python's sake
-    df.sparkSession._jvm.System.gc()  # the shuffle files of a table that is written need not wait for the driver's next collection
+def _halves(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Phrases whose windows have lo .. hi bytes before the gram -> the parts of both halves of that range, each under the longer gram that all its windows hold."""
+    kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.int32(), pa.int32(), pa.binary()]
+    for batch in batches:
+        got = []
+        for d, x, s, q, lo, hi, raw in zip(*(batch.column(c).to_pylist() for c in ("d", "x", "s", "q", "lo", "hi", "bytes")), strict=True):
+            n, mid = len(raw) - length + 1, (lo + hi) // 2
+            for a, b in ((lo, mid), (mid + 1, hi)):
+                least, most = max(a, q - n + 1), min(b, q)
+                if a <= b and least <= most:
+                    part = raw[q - most : q - least + length]
+                    g = xxhash.xxh3_64_intdigest(raw[q - a : q + length - b], a * 256 + b) - (1 << 63)
+                    got.append((g, xxhash.xxh3_128_digest(part), d, x, s + q - most, most, a, b, part))
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*got, strict=True) if got else [[]] * 9, kinds, strict=True)], ["g", "p", "d", "x", "s", "q", "lo", "hi", "bytes"])
 
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
@@ -235,32 +249,56 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
                 row, s, n, g, p = phrases(part, o, length, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in (g, p, d[rows[row]], x[rows[row]], (s + starts[row]) << bits | n)], ["g", "p", "d", "x", "sn"])
 
-    every = staged(keyed.select("d", "x", "text").mapInArrow(cut, "g long, p long, d long, x long, sn long"), "phrases")
-    twice = staged(every.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), "twice")  # as a table, so that the join's skewed partitions can be split
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = utf8(batch.column("text"))
+            for part, o, _, _ in _segments(data, off, length):
+                g, n = np.unique(phrases(part, o, length, gram)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], ["g", "n"])
+
+    # grams first, by themselves: the wide rows of phrases are made in the task that deals them out and are never a table
+    grams = keyed.select("text").mapInArrow(named, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    twice = staged(grams.where("n > 1").select("g"), "twice")  # as a table, so that the join's skewed partitions can be split
+    every = keyed.select("d", "x", "text").mapInArrow(cut, "g long, p long, d long, x long, sn long")
     found = staged(every.join(twice, "g"), "repeated")
-    remove(every)
     remove(twice)
-    _free(found)
     firsts = staged(found.groupBy("g", "p").agg(F.min(F.struct("d", "x", "sn")).alias("f")), "firsts")
-    _free(firsts)
     later = found.join(firsts.select("g", "p", F.col("f.d").alias("fd"), F.col("f.x").alias("fx"), F.col("f.sn").alias("fsn")), ["g", "p"])
-    later = later.where("d <> fd or x <> fx or sn <> fsn").select("d", "x", start.alias("a"), (start + size % (length + 1) + length - 1).alias("b"))
+    later = [later.where("d <> fd or x <> fx or sn <> fsn").select("d", "x", start.alias("a"), (start + size % (length + 1) + length - 1).alias("b"))]
     several = staged(firsts.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "several")
     wanted = firsts.join(several, "g").select("g", "c", "f.*").groupBy("d", "x").agg(F.collect_list(F.struct("g", "c", start.alias("s"), size.alias("n"))).alias("w"))  # a text's phrases: bounded by the text
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64()] * 6 + [pa.binary()]
         for batch in batches:
             data, off = utf8(batch.column("text"))
             d, x = (batch.column(c).to_pylist() for c in ("d", "x"))
+            got, held = [], 0
             for i, w in enumerate(batch.column("w").to_pylist()):
-                got = [(q["g"], q["c"], d[i], x[i], q["s"], q["n"] // (length + 1), data[off[i] + q["s"] : off[i] + q["s"] + q["n"] % (length + 1) + length - 1].tobytes()) for q in w]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*got, strict=True), [pa.int64()] * 6 + [pa.binary()], strict=True)], ["g", "c", "d", "x", "s", "q", "bytes"])
-
-    once = keyed.select("d", "x", "text")
-    dictionary = once.join(wanted, ["d", "x"]).mapInArrow(fetch, "g long, c long, d long, x long, s long, q long, bytes binary")
-    dictionary = staged(dictionary, "dictionary")
-    remove(several)
-    _free(dictionary)
+                for q in w:
+                    raw = data[off[i] + q["s"] : off[i] + q["s"] + q["n"] % (length + 1) + length - 1].tobytes()
+                    got.append((q["g"], q["c"], d[i], x[i], q["s"], q["n"] // (length + 1), raw))
+                    held += len(raw)
+                    if held > SEGMENT:
+                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*got, strict=True), kinds, strict=True)], ["g", "c", "d", "x", "s", "q", "bytes"])
+                        got, held = [], 0
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*got, strict=True), kinds, strict=True)], ["g", "c", "d", "x", "s", "q", "bytes"])
+
+    dictionary = staged(keyed.select("d", "x", "text").join(wanted, ["d", "x"]).mapInArrow(fetch, "g long, c long, d long, x long, s long, q long, bytes binary"), "dictionary")
+    columns = ["g", "d", "x", "s", "bytes", "q"]
+    few = [dictionary.where(F.col("c") <= crowd).select(*columns)]
+    many = dictionary.where(F.col("c") > crowd).withColumns({"lo": F.lit(0), "hi": F.lit(length - gram)})
+    crowds = several.where(F.col("c") > crowd)
+    while crowds.take(1):  # as many rounds as the logarithm of length - gram at most
+        parts = staged(many.select(*columns, "lo", "hi").mapInArrow(functools.partial(_halves, length=length, gram=gram), "g long, p binary, d long, x long, s long, q long, lo int, hi int, bytes binary"), "parts")
+        leads = staged(parts.groupBy("g", "p").agg(F.min(F.struct("d", "x", "s", "q", "lo", "hi", "bytes")).alias("f")), "leads")
+        own = parts.join(leads.select("g", "p", F.struct("f.d", "f.x", "f.s").alias("f")), ["g", "p"])
+        later.append(own.where("struct(d, x, s) <> f").select("d", "x", F.col("s").alias("a"), (F.col("s") + F.octet_length("bytes")).alias("b")))
+        several = staged(leads.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "several")
+        dictionary = leads.join(several, "g").select("g", "c", "f.*")
+        few.append(dictionary.where(F.col("c") <= crowd).select(*columns))
+        many, crowds = dictionary.where(F.col("c") > crowd), several.where(F.col("c") > crowd)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -290,19 +328,8 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
         close()
         yield out()
 
-    few = dictionary.where(F.col("c") <= crowd).repartition("g").sortWithinPartitions("g").select("g", "d", "x", "s", "bytes", "q").mapInArrow(sort, "d long, x long, a long, b long")
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for d, x, s, raw in zip(*(batch.column(c).to_pylist() for c in ("d", "x", "s", "bytes")), strict=True):
-                n = len(raw) - length + 1
-                names = [xxhash.xxh3_128_digest(raw[k : k + length]) for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), *(pa.array(np.full(n, v, np.int64)) for v in (d, x)), pa.array(np.arange(s, s + n))], ["w", "d", "x", "a"])
-
-    crowded = dictionary.where(F.col("c") > crowd).select("d", "x", "s", "bytes").mapInArrow(windows, "w binary, d long, x long, a long")
-    lead = crowded.groupBy("w").agg(F.min(F.struct("d", "x", "a")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select("w", "f")
-    many = crowded.join(lead, "w").where("struct(d, x, a) <> f").select("d", "x", "a", (F.col("a") + length).alias("b"))
-    return later.unionByName(few).unionByName(many)
+    sorted_out = reduce(DataFrame.unionByName, few).repartition("g").sortWithinPartitions("g").mapInArrow(sort, "d long, x long, a long, b long")
+    return reduce(DataFrame.unionByName, [*later, sorted_out])
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
