@@ -12,11 +12,14 @@ or null doc_ids: a row each. No rows: no rows. Only doc_id and text are read; `r
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.llm.common import new_name
+
 #: Fixed values of the contract, in the order in which kinds are listed.
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -40,23 +43,30 @@ ENCODINGS = {
 }
 BANDS = (32, 48, 64, 96)
 SPAN = "array<struct<start:int,end:int,token:string>>"
+#: Places of an array, and characters of a text, that are worked on at once.
+BLOCK, STRETCH = 64, 4096
+
+
+def _running(values: Column, op: Callable[[Column, Column], Column], start: int = 0) -> Column:
+    """What op makes of all values before each place of an int array, from `start` on. In blocks, as appending to an array copies it: the work is that of an array of n / BLOCK."""
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(values) / BLOCK).cast("int") - 1), lambda i: F.slice(values, i * BLOCK + 1, F.lit(BLOCK)))
+
+    def before(xs: Column, first: Column) -> Column:
+        got = F.aggregate(xs, F.struct(first.alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+        return got["out"]
+
+    whole = F.transform(blocks, lambda xs: F.aggregate(xs, F.lit(start), op))
+    return F.when(F.size(values) > 0, F.flatten(F.zip_with(blocks, before(whole, F.lit(start)), before))).otherwise(F.array().cast("array<int>"))
 
 
 def _found(text: Column, pattern: str, keep: Column | None = None) -> Column:
     """Matches from the left, with their places, from the gaps that split leaves and the matches between them. keep: boolean array, one for each match."""
     match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    start = lambda acc, x: acc["at"] + x["gap"]
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(match)), match, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-    got = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
-        lambda acc, x: F.struct(
-            (start(acc, x) + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(start(acc, x).alias("start"), (start(acc, x) + F.length(x["m"])).alias("end"), x["m"].alias("token")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(match)), match, lambda g, m: F.struct(g.alias("gap"), m.alias("m"), (g + F.length(m)).alias("step")))
+    offsets = _running(F.transform(pairs, lambda x: x["step"]), lambda a, b: a + b)
+    span = lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["step"]).alias("end"), x["m"].alias("token"))
+    got = F.zip_with(pairs, offsets, span)
     if keep is not None:
         got = F.transform(F.filter(F.zip_with(got, keep, lambda s, k: F.struct(s.alias("span"), k.alias("ok"))), lambda x: x["ok"]), lambda x: x["span"])
     return F.when(text.rlike(pattern), got).otherwise(F.array().cast(SPAN))
@@ -143,18 +153,18 @@ def thresholds(docs: DataFrame, rate: float = 0.05) -> dict[str, float]:
     return cut
 
 
-def scan(docs: DataFrame, cut: dict[str, float]) -> DataFrame:
-    """docs with `found`: all spans by start, then kind as listed; added ones never overlap base ones. Narrow: no shuffle."""
+def scan(docs: DataFrame, cut: dict[str, float], name: str = "found") -> DataFrame:
+    """docs with a new column (`found`): all spans by start, then kind as listed; added ones never overlap base ones. Narrow: no shuffle."""
     text = F.col("text")
     base = base_spans(text)
     struct = lambda kind: lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].alias("end"))
-    out = docs.withColumn("found", F.array_sort(F.concat(*[F.transform(c, struct(k)) for k, c in base.items()])))
+    out = docs.withColumn(name, F.array_sort(F.concat(*[F.transform(c, struct(k)) for k, c in base.items()])))
     if not cut:
         return out
     limit = F.create_map(*[F.lit(x) for k, v in sorted(cut.items()) for x in (k, float(v))])
-    free = lambda s: ~F.exists(F.col("found"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    free = lambda s: ~F.exists(F.col(name), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     added = F.filter(candidates(text), lambda s: (s["p"] > F.coalesce(F.element_at(limit, s["band"]), F.lit(0.0))) & free(s))
-    return out.withColumn("found", F.array_sort(F.concat("found", F.transform(added, struct("random")))))
+    return out.withColumn(name, F.array_sort(F.concat(name, F.transform(added, struct("random")))))
 
 
 def _named(spans: Column) -> Column:
@@ -173,15 +183,22 @@ def secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
 
 def redacted(docs: DataFrame, rate: float = 0.05, mark: str = "[secret]") -> DataFrame:
     """docs with each stretch of secrets in text replaced by `mark`; every row and column stays (null text stays null)."""
-    text = F.col("text")
-    cut = F.aggregate(
-        "found",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    columns = docs.columns
-    return scan(docs, thresholds(docs, rate)).withColumn("text", F.when(F.size("found") > 0, cut).otherwise(text)).select(*columns)
+    columns, name, text = docs.columns, new_name(docs, "found"), F.col("text")
+    found = F.col(name)
+    before = _running(F.transform(found, lambda s: s["end"]), lambda a, b: F.greatest(a, b))  # where the spans before each end
+    gaps = F.filter(F.zip_with(found, before, lambda s, at: F.struct(at.alias("start"), s["start"].alias("end"), F.lit(mark).alias("mark"))), lambda g: g["start"] <= g["end"])
+    last = F.struct(F.array_max(F.transform(found, lambda s: s["end"])).alias("start"), F.length(text).alias("end"), F.lit("").alias("mark"))
+    stretches = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
+
+    def kept(stretch: Column, i: Column, gaps: Column) -> Column:
+        """What is left of one stretch: the parts of the gaps in it, each with the mark of the secret behind it if that begins here."""
+        low, high = i * STRETCH, (i + 1) * STRETCH
+        here = lambda g: (g["end"] >= low) & (g["end"] < high)
+        near = F.filter(gaps, lambda g: ((g["start"] < high) & (g["end"] > low)) | here(g))
+        part = lambda g: F.substring(stretch, F.greatest(g["start"], low) - low + 1, F.greatest(F.lit(0), F.least(g["end"], high) - F.greatest(g["start"], low)))
+        return F.array_join(F.transform(near, lambda g: F.concat(part(g), F.when(here(g), g["mark"]).otherwise(""))), "")
+
+    cuts = new_name(docs, "gaps")
+    marked = scan(docs, thresholds(docs, rate), name).withColumn(cuts, F.when(F.size(found) > 0, F.concat(gaps, F.array(last))))
+    cut = F.array_join(F.transform(stretches, lambda x, i: kept(x, i, F.col(cuts))), "")
+    return marked.withColumn("text", F.when(F.col(cuts).isNotNull(), cut).otherwise(text)).select(*[F.col(f"`{c}`") for c in columns])
