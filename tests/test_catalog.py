@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__
 from tidegrid.operators import evaluate, impute
-from tidegrid.plans import catalog
+from tidegrid.plans import catalog, extended  # noqa: F401 - extended adds to the catalog
 from tidegrid.sources import grid
 
 SF = "/root/testdata/sf0.001"

@@ -33,26 +33,71 @@ def hash_draw(*parts: Column | str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % 1000
 
 
+def _hide(cells: DataFrame, chosen: Column) -> DataFrame:
+    """truth, hidden (of observed cells only), and x without the hidden cells."""
+    hidden = F.coalesce(F.col("x").isNotNull() & chosen, F.lit(False))
+    return cells.withColumn("truth", F.col("x")).withColumn("hidden", hidden).withColumn("x", F.when(~F.col("hidden"), F.col("x")))
+
+
+def _z(value: str = "x") -> Column:
+    w = Window.partitionBy("feature")
+    return (F.col(value) - F.avg(value).over(w)) / F.nullif(F.stddev_pop(value).over(w), F.lit(0.0))
+
+
 def masked(cells: DataFrame, mechanism: str, rate: float, seed: int, block: int = 10) -> DataFrame:
-    """truth, hidden, and x without the hidden cells. mechanism: mcar, block (stretches of a series), blackout (of all series) or mnar (large values likelier)."""
-    stretch = F.floor(F.col("ord") / block)
-    cut = F.lit(1000 * rate)
+    """truth, hidden, and x without the hidden cells. mechanism: mcar, block (stretches of a series), blackout (of all series), mnar (large values likelier), mar (likelier where the series before is high),
+    mixed (three fifths of the rate in stretches, the rest in points) or async (gaps of exponential length, each series by itself)."""
+    stretch, cut, points = F.floor(F.col("ord") / block), F.lit(1000 * rate), hash_draw("feature", "ord", seed=seed)
     if mechanism == "mnar":
-        w = Window.partitionBy("feature")
-        z = (F.col("x") - F.avg("x").over(w)) / F.nullif(F.stddev_pop("x").over(w), F.lit(0.0))
-        cut = F.least(F.lit(1000.0), 2000 * rate / (1 + F.exp(-z)))
-    draw = {"mcar": hash_draw("feature", "ord", seed=seed), "mnar": hash_draw("feature", "ord", seed=seed), "block": hash_draw(F.col("feature"), stretch, seed=seed), "blackout": hash_draw(stretch, seed=seed)}[mechanism]
-    return cells.withColumn("truth", F.col("x")).withColumn("hidden", F.coalesce(F.col("x").isNotNull() & (draw < cut), F.lit(False))).withColumn("x", F.when(~F.col("hidden"), F.col("x")))
+        return _hide(cells, points < F.least(F.lit(1000.0), 2000 * rate / (1 + F.exp(-_z()))))
+    if mechanism == "mar":
+        step = Window.partitionBy("ord").orderBy("feature")
+        got = cells.withColumn("_z", _z())
+        before = F.coalesce(F.lag("_z").over(step), F.last("_z").over(step.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0.0))
+        return _hide(got.withColumn("_d", before), points < F.least(F.lit(950.0), 2000 * rate / (1 + F.exp(-F.col("_d"))))).drop("_z", "_d")
+    if mechanism == "mixed":
+        return _hide(cells, (hash_draw(F.col("feature"), stretch, seed=seed) < 600 * rate) | (hash_draw("feature", "ord", seed=seed + 1) < 400 * rate))
+    if mechanism == "async":
+        return _hide(cells, _gap_from_starts(rate, 2 * block, seed))
+    draw = {"mcar": points, "block": hash_draw(F.col("feature"), stretch, seed=seed), "blackout": hash_draw(stretch, seed=seed)}[mechanism]
+    return _hide(cells, draw < cut)
+
+
+def _gap_from_starts(rate: float, mean: int, seed: int) -> Column:
+    """Whether a gap that began at one of the last 8 * mean steps reaches the cell: each step starts one with a chance of rate / mean, of exponential length (cut there)."""
+    reach = 8 * mean
+    begins = lambda at: hash_draw(F.col("feature"), at, seed=seed)
+    length = lambda at: F.greatest(F.lit(1.0), F.floor(-F.log((hash_draw(F.col("feature"), at, seed=seed + 1) + 1) / 1001.0) * mean))
+    return F.exists(F.sequence(F.col("ord") - reach, F.col("ord")), lambda at: (at >= 0) & (begins(at) < 1000 * rate / mean) & (at + length(at) > F.col("ord")))
+
+
+def long_gap(cells: DataFrame, share: float = 0.2, seed: int = 0) -> DataFrame:
+    """One gap of a share of the steps in each series, begun by hash, not at the first or last step."""
+    w = Window.partitionBy("feature")
+    steps = F.max("ord").over(w) - F.min("ord").over(w) + 1
+    size = F.greatest(F.lit(1), F.floor(steps * F.lit(share)))
+    first = F.min("ord").over(w) + 1 + F.floor(hash_draw("feature", seed=seed) * F.greatest(F.lit(1), steps - size - 1) / 1000)
+    got = cells.withColumns({"_a": first, "_n": size})
+    return _hide(got, (F.col("ord") >= F.col("_a")) & (F.col("ord") < F.col("_a") + F.col("_n"))).drop("_a", "_n")
+
+
+def subsequence(cells: DataFrame, rate: float, seed: int, gap: int, keys=KEYS) -> DataFrame:
+    """Stretches of `gap` steps hidden by hash, and for each hidden cell the length of the hidden run that it is in (neighbouring stretches join)."""
+    hidden = masked(cells, "block", rate, seed, gap)
+    w = Window.partitionBy(*keys).orderBy("ord")
+    runs = hidden.where("hidden").withColumn("_i", F.col("ord") - F.row_number().over(w))
+    runs = runs.withColumn("gap", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_i"))).select(*keys, "ord", "gap")
+    return hidden.join(runs, [*keys, "ord"], "left").withColumn("gap", F.coalesce("gap", F.lit(0)))
 
 
 def scores(filled: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """mae, rmse, mre, bias, corr and n over hidden cells with finite values; how many fills were not finite."""
+    """mae, rmse, mre, bias, corr (null for constant fills or truths) and n over hidden cells with finite values; how many fills were not finite."""
     e = F.col("fill") - F.col("truth")
     bad = F.col("fill").isNull() | F.isnan("fill")
-    rows = filled.where("hidden").withColumns({"_bad": bad, "_e": F.when(~bad, e)})
+    rows = filled.where("hidden").withColumns({"_bad": bad, "_e": F.when(~bad, e), "_f": F.when(~bad, F.col("fill")), "_t": F.when(~bad, F.col("truth"))})
     return rows.groupBy(*by).agg(
         F.avg(F.abs("_e")).alias("mae"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"), (F.sum(F.abs("_e")) / F.sum(F.when(~F.col("_bad"), F.abs("truth")))).alias("mre"),
-        F.avg("_e").alias("bias"), F.corr("fill", "truth").alias("corr"), F.count("_e").alias("n"), F.sum(F.col("_bad").cast("long")).alias("n_bad"),
+        F.avg("_e").alias("bias"), (F.covar_pop("_f", "_t") / F.nullif(F.stddev_pop("_f") * F.stddev_pop("_t"), F.lit(0.0))).alias("corr"), F.count("_e").alias("n"), F.sum(F.col("_bad").cast("long")).alias("n_bad"),
     )
 
 

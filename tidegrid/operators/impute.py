@@ -135,13 +135,13 @@ def two_way_mean(cells, keys=KEYS):
     return _filled(got, F.avg("x").over(Window.partitionBy(*keys)) + F.avg("x").over(Window.partitionBy("ord")) - X("_t"), F.avg("x").over(Window.partitionBy(*keys)), F.lit(0.0)).drop("_t")
 
 
-def _scanned(cells: DataFrame, keys: tuple[str, ...], run: Callable[[list, list], list]) -> DataFrame:
-    """A recurrence within each series: run(ords, xs) -> fills, with None for missing; linear in the series, one Arrow group for each."""
+def _scanned(cells: DataFrame, keys: tuple[str, ...], run: Callable[[list, list], list], always: bool = False) -> DataFrame:
+    """A recurrence within each series: run(ords, xs) -> fills, with None for missing; linear in the series, one Arrow group for each. always: what it says, for observed cells too."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord", ignore_index=True)
         xs = [None if v != v else v for v in pdf["x"].tolist()]
-        return pdf.assign(fill=[x if x is not None else f for x, f in zip(xs, run(pdf["ord"].tolist(), xs), strict=True)])
+        return pdf.assign(fill=[x if x is not None and not always else f for x, f in zip(xs, run(pdf["ord"].tolist(), xs), strict=True)])
 
     schema = T.StructType([*cells.schema.fields, T.StructField("fill", T.DoubleType())])
     return cells.groupBy(*keys).applyInPandas(one, schema)
