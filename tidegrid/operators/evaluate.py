@@ -110,11 +110,19 @@ def train_standardised(cells: DataFrame, cut: float = 0.6, keys=KEYS) -> DataFra
 
 
 def conformal_quantile(scored: DataFrame, level: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """The ceil(level (n + 1))-th smallest score, or the largest: by rank within its group, so no group is gathered."""
-    w = Window.partitionBy(*by).orderBy("score")
-    n = F.count("score").over(Window.partitionBy(*by))
-    rank = F.least(n, F.ceil(F.lit(level) * (n + 1)))
-    return scored.where("score is not null").withColumns({"_r": F.row_number().over(w), "_k": rank}).where("_r = _k").select(*by, F.col("score").alias("q"))
+    """The ceil(level (n + 1))-th smallest score, or the largest. Scores are counted in slices, 256 to a doubling of their size, the slice that holds the rank is found from these counts, and only its rows are ranked:
+    no task sees a group whole, with or without `by`."""
+    x = F.col("score")
+    size = F.floor(F.log2(F.abs(x)) * 256).cast("int") + (1 << 20)  # rises with the size of any double
+    rows = scored.where(x.isNotNull() & ~F.isnan(x)).withColumn("_s", F.when(x > 0, size).when(x < 0, -size).otherwise(0))
+    counts = rows.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(*by)  # one row for each slice
+    n = F.sum("_c").over(whole)
+    before = F.sum("_c").over(whole.orderBy("_s")) - F.col("_c")
+    ranked = counts.withColumns({"_b": before, "_k": F.least(n, F.ceil(F.lit(level) * (n + 1)))})
+    holds = ranked.where((F.col("_b") < F.col("_k")) & (F.col("_k") <= F.col("_b") + F.col("_c"))).select(*by, "_s", (F.col("_k") - F.col("_b")).alias("_r"))  # one row for each group
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("score"))
+    return rows.join(holds, [*by, "_s"]).withColumn("_p", place).where("_p = _r").select(*by, F.col("score").alias("q"))
 
 
 def interval_scores(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
