@@ -321,7 +321,8 @@ def periods(x: Matrix, most: int = 3, least: float = 0.3) -> list[int]:
     r = dict(found)
     peaks = sorted(((v, k) for k, v in found if v > least and v >= r.get(k - 1, -1) and v > r.get(k + 1, -1)), reverse=True)
     out: list[int] = []
-    for _, k in peaks:
+    for v, k in peaks:
+        k = min([q for w, q in peaks if w >= 0.85 * v and k % q in (0, 1, q - 1)], default=k)  # the base of which the strongest is a multiple
         if len(out) < most and not any(k % p in (0, 1, p - 1) for p in out):
             out.append(k)
     return out
@@ -431,7 +432,7 @@ def reset_covariance(x: Matrix, drift: float = 0.5, alarm: float = 5.0, burn: in
             s = c / weight - np.outer(centre, centre)
             s = s + np.eye(n) * 1e-2 * (np.trace(s) / n + 1e-9)
             fill = centre + s[:, on] @ _solve(s[np.ix_(on, on)], row[on] - centre[on])
-            error = float(((row[on] - centre[on]) / np.sqrt(np.diag(s)[on])).mean())
+            error = float(((row[on] - centre[on]) / np.sqrt(np.maximum(np.diag(s)[on], 1e-12))).mean())
             seen += 1
             if seen > 5:
                 z = (error - level) / max(np.sqrt(spread), 1e-6)

@@ -165,8 +165,19 @@ def _certificate(name: str) -> Query:
     return lambda spark, d: ev.causality_certificate(grid.hourly_events(spark, d), im.METHODS[name][0]).select("prefix", "cells", (F.col("max_revision") <= 1e-6).alias("holds"))
 
 
-for _m in ("locf", "linear_interp", "mean_past", "holt"):
-    _add(f"audit_{_m}", _certificate(_m))
+def _certificate_sql(fill: str, seen: str = "") -> str:
+    """Fills of six growing prefixes, each computed by itself, against those of the whole. seen: a CTE s over g that the fill needs."""
+    by_prefix = lambda t: t.replace("PARTITION BY feature", "PARTITION BY prefix, feature")
+    return f"""WITH {HOURLY}{seen}, ends AS (SELECT max(ord) AS top FROM g), prefixes AS (SELECT DISTINCT round(top // 3 + (top - 1 - top // 3) * i / 5.0::DOUBLE)::BIGINT AS prefix FROM ends, range(0, 6) AS r(i)),
+gp AS (SELECT prefix, g.* FROM prefixes JOIN g ON ord <= prefix){by_prefix(seen).replace(", s AS", ", sp AS").replace("FROM g", "FROM gp")}, whole AS (SELECT feature, ord, coalesce(x, {fill}, 0) AS a FROM {"s" if seen else "g"}),
+part AS (SELECT prefix, feature, ord, coalesce(x, {by_prefix(fill)}, 0) AS b FROM {"sp" if seen else "gp"}) SELECT prefix, count(*) AS cells, max(abs(a - b)) <= 1e-6 AS holds FROM part JOIN whole USING (feature, ord) GROUP BY prefix"""
+
+
+_add("audit_locf", _certificate("locf"), _certificate_sql(LOCF))
+_add("audit_mean_past", _certificate("mean_past"), _certificate_sql(f"avg(x) OVER {UP}"))
+_add("audit_linear_interp", _certificate("linear_interp"), _certificate_sql("av + (bv - av) * (ord - at_) / nullif(bt - at_, 0), av, bv", SEEN))
+_add("audit_nocb", _certificate("nocb"), _certificate_sql(f"first_value(x IGNORE NULLS) OVER {ON}"))
+_add("audit_holt", _certificate("holt"))
 _add(
     "trailing_windows",
     lambda spark, d: ev.trailing_windows(grid.hourly_events(spark, d), 24).groupBy("feature", "win_id").agg(F.count("x").alias("n_seen"), F.round(F.avg("x"), 6).alias("mean_x")),
@@ -236,7 +247,7 @@ SELECT vec_id, round(avg(abs(v - 0.05::DOUBLE)) - sum((2 * i - n - 1) * v) / max
 
 
 def _benchmark(spark: SparkSession, d: str) -> DataFrame:
-    """Every point-in-time window method on one mask, one row each, with its rank."""
+    """Three point-in-time methods on one mask, one row each, with their ranks; benchmark_windows has more."""
     from functools import reduce
 
     from pyspark.sql.window import Window
@@ -250,9 +261,26 @@ _add("benchmark", _benchmark, HIDE + """, l AS (SELECT truth, unnest([struct_pac
 t AS (SELECT q.method AS method, avg(abs(q.v - truth)) AS a, sqrt(avg((q.v - truth) ** 2)) AS b, count(*) AS n FROM l GROUP BY ALL) SELECT method, round(a, 6) AS mae, round(b, 6) AS rmse, n, CAST(rank() OVER (ORDER BY a) AS INT) AS place FROM t""")
 _add("disagreements", lambda spark, d: sc.disagreements(spark.read.parquet(f"{d}/events.parquet"), ("user_id", "event_type"), "value").select("user_id", "event_type", "n_values", F.round("low", 6).alias("low"), F.round("high", 6).alias("high")),
      "SELECT user_id, event_type, count(DISTINCT value) AS n_values, round(min(value), 6) AS low, round(max(value), 6) AS high FROM events GROUP BY ALL HAVING count(DISTINCT value) >= 2")
+def _leakage_sql(name: str, fill: str, causal: str, seen: str = "") -> str:
+    """Errors on all rows and at the right edge of trailing windows, averaged over two patterns and two rates, and the largest revision over prefixes."""
+    runs = []
+    for pattern, ids in (("mcar", "feature, ord, 3"), ("block", "feature, ord // 10, 3")):
+        for rate in (100, 200):
+            cells = f"SELECT feature, ord, x AS truth, x IS NOT NULL AND {DRAW.format(ids)} < {rate} AS hidden FROM whole_cells"
+            seen_here = seen.replace(", s AS", f", windows_{pattern}_{rate} AS").replace("FROM g", f"FROM cells_{pattern}_{rate}") or f", windows_{pattern}_{rate} AS (SELECT * FROM cells_{pattern}_{rate})"
+            runs.append((f", cells_{pattern}_{rate} AS (SELECT *, CASE WHEN NOT hidden THEN truth END AS x FROM ({cells})){seen_here}", f"SELECT avg(abs(full_fill - truth)) AS a, avg(abs(causal_fill - truth)) AS b FROM (SELECT truth, hidden, coalesce(x, {fill}, 0) AS full_fill, coalesce(x, {causal}, 0) AS causal_fill FROM windows_{pattern}_{rate}) WHERE hidden"))
+    audit = _certificate_sql(fill, seen).split(" SELECT prefix, count(*)")[0]
+    return f"""{audit}, whole_cells AS (SELECT feature, ord, x FROM g){''.join(a for a, _ in runs)}, errors AS ({' UNION ALL '.join(b for _, b in runs)}), mean_errors AS (SELECT avg(a) AS a, avg(b) AS b FROM errors),
+revised AS (SELECT max(abs(part.b - whole.a)) AS r FROM part JOIN whole USING (feature, ord)) SELECT '{name}' AS method, round(a, 6) AS mae_full, round(b, 6) AS mae_causal, round(b - a, 6) AS delta, round(r, 6) AS max_revision, r <= 1e-6 AS holds FROM mean_errors, revised"""
+
+
+LEAKAGE = {
+    "nocb": _leakage_sql("nocb", f"first_value(x IGNORE NULLS) OVER {ON}", "0"),
+    "linear_interp": _leakage_sql("linear_interp", "av + (bv - av) * (ord - at_) / nullif(bt - at_, 0), av, bv", f"last_value(x IGNORE NULLS) OVER {LAST24}", SEEN),
+}
 for _m in ("nocb", "linear_interp", "softimpute"):
-    _add(f"leakage_{_m}", lambda spark, d, m=_m: _rounded(au.report(grid.hourly_events(spark, d), m), "method", "mae_full", "mae_causal", "delta", "max_revision", "holds"))
+    _add(f"leakage_{_m}", sql=LEAKAGE.get(_m), query=lambda spark, d, m=_m: _rounded(au.report(grid.hourly_events(spark, d), m), "method", "mae_full", "mae_causal", "delta", "max_revision", "holds"))
 _add("right_edge", lambda spark, d: _rounded(au.right_edge(ev.trailing_windows(grid.hourly_events(spark, d), 24)), "feature", "win_id", "x"), f"WITH {HOURLY} SELECT feature, ord AS win_id, round(x, 6) AS x FROM g")
-_add("trailing_multipliers", lambda spark, d: _rounded(au.trailing_multipliers(_errors(spark, d).withColumnRenamed("err", "score"), 0.9, 30, 10), "feature", "ord", "multiplier"),
-     HIDE + f""", w AS (SELECT feature, ord, list(err) OVER (PARTITION BY feature ORDER BY ord ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS l FROM e), n AS (SELECT feature, ord, list_sort(l) AS l, coalesce(len(l), 0) AS n FROM w)
-SELECT feature, ord, round(CASE WHEN n < 10 THEN {ev.normal_quantile(0.95)!r}::DOUBLE ELSE l[least(n, CAST(ceil(0.9::DOUBLE * (n + 1)) AS BIGINT))] END, 6) AS multiplier FROM n""")
+_add("trailing_multipliers", lambda spark, d: _rounded(au.trailing_multipliers(_errors(spark, d).withColumnRenamed("err", "score"), 0.9), "feature", "ord", "multiplier"),
+     HIDE + f""", w AS (SELECT feature, ord, list(err) OVER (PARTITION BY feature ORDER BY ord ROWS BETWEEN 4000 PRECEDING AND 1 PRECEDING) AS l FROM e), n AS (SELECT feature, ord, list_sort(l) AS l, coalesce(len(l), 0) AS n FROM w)
+SELECT feature, ord, round(CASE WHEN n < 30 THEN 1.6448536269514722::DOUBLE ELSE l[least(n, CAST(ceil(0.9::DOUBLE * (n + 1)) AS BIGINT))] END, 6) AS multiplier FROM n""")
