@@ -319,10 +319,10 @@ def periods(x: Matrix, most: int = 3, least: float = 0.3) -> list[int]:
             a, b = z[lag:][both], z[:-lag][both]
             found.append((lag, float(a @ b / np.sqrt((a @ a) * (b @ b) + 1e-12))))
     r = dict(found)
-    peaks = sorted(((v, k) for k, v in found if v > least and v >= r.get(k - 1, -1) and v > r.get(k + 1, -1)), reverse=True)
+    peaks = sorted(((v, k) for k, v in found if v > least and v >= r.get(k - 1, 2) and v > r.get(k + 1, -1)), reverse=True)
     out: list[int] = []
     for v, k in peaks:
-        k = min([q for w, q in peaks if w >= 0.85 * v and k % q in (0, 1, q - 1)], default=k)  # the base of which the strongest is a multiple
+        k = min([q for w, q in peaks if w >= 0.85 * v and q > 3 and k % q in (0, 1, q - 1)], default=k)  # the base of which the strongest is a multiple
         if len(out) < most and not any(k % p in (0, 1, p - 1) for p in out):
             out.append(k)
     return out
