@@ -35,6 +35,44 @@ def test_base_rules(spark):
         assert quality.base(np.frombuffer((t or "").encode(), np.uint8))[0] == plain_base(t)
 
 
+def plain_hashed(text):
+    """Cell counts one n-gram at a time, in whole numbers."""
+    a, b, c = (int(m) for m in quality.MIX)
+    half, wrap = quality.DIM // 2, 1 << 32
+    shift = 32 - (half.bit_length() - 1)
+    count = [0] * quality.DIM
+    words = [zlib.crc32(w) for w in text.encode().split()]
+    for w in words:
+        count[(w * a % wrap) >> shift] += 1
+    for v, w in zip(words, words[1:], strict=False):
+        count[((v * b + w * c) % wrap) >> shift] += 1
+    for i in range(len(text) - 2):
+        three = ((ord(text[i]) * a + ord(text[i + 1])) * b + ord(text[i + 2])) * c % wrap
+        count[half + (three >> shift)] += 1
+        if i + 3 < len(text):
+            count[half + ((three + ord(text[i + 3])) * a % wrap >> shift)] += 1
+    x = np.log1p(count)
+    return x / max(np.linalg.norm(x), 1e-9)
+
+
+def test_probability_against_plain_version(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    weights = quality.fit(docs, labels)
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(10**6 + i, t) for i, (_, t) in enumerate(ODD)]
+    got = {r.doc_id: r for r in quality.quality(frame(spark, rows), labels).collect()}
+    for i, t in rows:
+        want = 1 / (1 + np.exp(-(plain_hashed(t or "") @ weights[:-1] + weights[-1])))
+        assert got[i].probability == pytest.approx(want, abs=1e-4)
+        n = plain_base(t)
+        failed = n[0] < 50 or 100 * n[4] > 50 * n[0]
+        assert got[i].kept == (not failed and got[i].probability >= quality.KEEP) and got[i].verdict == ("reject" if not got[i].kept else "good" if got[i].probability >= quality.GOOD else "doubtful")
+    monkeypatch.setattr(quality, "PIECE", 7)
+    for _, t in rows[:20]:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        assert quality.hashed(raw, *quality.base(raw)[1:]) == pytest.approx(plain_hashed(t or ""), abs=1e-6)
+
+
 def test_quality_held_out(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = quality.quality(spark.read.parquet(f"{SF}/documents.parquet"), labels).collect()

@@ -1,6 +1,6 @@
-"""Quality rules: fixed base rules, then a logistic regression over hashed word and character n-grams, calibrated, against a fixed threshold.
+"""Quality rules: fixed base rules, then a logistic regression over hashed word and character n-grams, calibrated, against fixed thresholds.
 
-Word unigrams and bigrams and 3- and 4-byte grams of the whole text are counted in DIM cells by hash, damped (log1p) and scaled to length 1. The weights come from at most MOST_ROWS
+Word unigrams and bigrams and runs of three and four characters of the whole text are counted in DIM cells by hash, damped (log1p) and scaled to length 1. The weights come from at most MOST_ROWS
 labelled rows outside the held-out ones (a documented bound); Platt scaling on scores out of fold calibrates the probability. Scoring runs in Arrow batches.
 
 Defined cases: a null text has no words and fails the base rules; repeated rows and ids get a row each; extra columns are not read. Without labels of both
@@ -20,7 +20,11 @@ from pyspark.sql import functions as F
 from tidegrid.llm.common import staged, utf8
 from tidegrid.llm.learning import fit_logistic, held_out, platt, sample, sigmoid
 
-DIM, MOST_ROWS, KEEP = 4096, 4_000, 0.5
+DIM, MOST_ROWS = 4096, 4_000
+#: Fixed thresholds of the probability: below KEEP a text goes, from GOOD on it is good, between them doubtful (and kept).
+KEEP, GOOD = 0.5, 0.8
+#: Odd multipliers of the hashes.
+MIX = tuple(np.uint32(x) for x in (2654435761, 2246822519, 3266489917))
 PIECE = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -57,20 +61,21 @@ def base(data: np.ndarray) -> tuple[list[int], np.ndarray, list[bytes]]:
 
 
 def hashed(data: np.ndarray, ids: np.ndarray, distinct: list[bytes]) -> np.ndarray:
-    """Damped counts of n-grams in DIM cells, of length 1 (zeros for an empty text); half of the cells for words, half for byte grams."""
+    """Damped counts of n-grams in DIM cells, of length 1 (zeros for an empty text); half of the cells for words and pairs of words, half for three and four characters in a row."""
     half = DIM // 2
     shift = np.uint32(32 - (half.bit_length() - 1))
     count = np.zeros(DIM)
     if len(ids):
         word = np.array([zlib.crc32(w) for w in distinct], np.uint32)[ids]
-        count[:half] += np.bincount((word * np.uint32(2654435761)) >> shift, minlength=half)
-        count[:half] += np.bincount((word[:-1] * np.uint32(2246822519) + word[1:] * np.uint32(3266489917)) >> shift, minlength=half)
-    for at in range(0, len(data), PIECE):
-        b = data[at : at + PIECE + 3].astype(np.uint32)
-        if len(b) >= 3:
-            three = b[:-2] | b[1:-1] << 8 | b[2:] << 16
-            count[half:] += np.bincount((three[:PIECE] * np.uint32(2654435761)) >> shift, minlength=half)
-            count[half:] += np.bincount(((three[:-1] | b[3:] << 24)[:PIECE] * np.uint32(2246822519)) >> shift, minlength=half)
+        count[:half] += np.bincount((word * MIX[0]) >> shift, minlength=half)
+        count[:half] += np.bincount((word[:-1] * MIX[1] + word[1:] * MIX[2]) >> shift, minlength=half)
+    char = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+    for at in range(0, len(char), PIECE):
+        c = char[at : at + PIECE + 3]
+        if len(c) >= 3:
+            three = ((c[:-2] * MIX[0] + c[1:-1]) * MIX[1] + c[2:]) * MIX[2]
+            count[half:] += np.bincount(three[:PIECE] >> shift, minlength=half)
+            count[half:] += np.bincount(((three[:-1] + c[3:]) * MIX[0])[:PIECE] >> shift, minlength=half)
     x = np.log1p(count)
     return (x / max(np.linalg.norm(x), 1e-9)).astype(np.float32)
 
@@ -104,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> np.ndarray
 
 
 def quality(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, held_out, probability."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, held_out, probability, verdict (reject, doubtful or good)."""
     weights = fit(docs, labels, most)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -120,4 +125,5 @@ def quality(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> DataFr
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {', '.join(f'{n} long' for n in names)}, probability double")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.select("doc_id", *names, failed.alias("base_failed"), (~failed & (F.col("probability") >= KEEP)).alias("kept"), held_out(F.col("doc_id")).alias("held_out"), "probability")
+    verdict = F.when(failed | (F.col("probability") < KEEP), "reject").when(F.col("probability") < GOOD, "doubtful").otherwise("good")
+    return out.select("doc_id", *names, failed.alias("base_failed"), (~failed & (F.col("probability") >= KEEP)).alias("kept"), held_out(F.col("doc_id")).alias("held_out"), "probability", verdict.alias("verdict"))
