@@ -2,7 +2,7 @@
 
 Items and texts are normalised (lower case, white space as single blanks). An item of n characters may differ from some passage of a text in k = floor(rate * n) edits; it is cut into
 k + 1 pieces, one of which any such passage holds unchanged. Aho-Corasick finds all pieces in a whole text in one pass; around the hits Myers' bit-parallel algorithm computes the
-least distance of the whole item to any passage. Items come in blocks of a fixed number, one pass over the documents for each block, so no broadcast grows with either table.
+least distance of the whole item to any passage. Items come in blocks of bounded number and size, one pass over the documents for each block, so neither what tasks get nor what the driver holds grows with either table; the passes grow with the items.
 
 Defined cases: null and empty texts match nothing; items that are null, empty or blank match nothing; equal items are found each under its own id (a null id too); repeated rows of
 documents give a row each. No rows on either side: no rows.
@@ -13,16 +13,16 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
-from itertools import islice
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import texts
+from tidegrid.llm.common import chunks, remove, staged, texts
 
-RATE, BLOCK = 0.08, 5_000
+#: Edits as a share of an item, items and characters of them that one pass over the documents looks for.
+RATE, BLOCK, BLOCK_BYTES = 0.08, 5_000, 8 << 20
 
 
 def normalised(text: str | None) -> str:
@@ -101,40 +101,66 @@ class Matcher:
         return out
 
 
-def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int | None, str]]]:
+def _blocks(benchmark: DataFrame, block: int, size: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, str]]]:
+    """Items in blocks of at most `block` rows and about `size` characters (a longer item is a block of its own); the driver holds one block and one partition of the items at a time."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator()
-    items = ((i, t) for i, x in rows if (t := normalised(x)))
-    while held := list(islice(items, block)):
+    held: list[tuple[int | None, str]] = []
+    many = 0
+    for i, x in rows:
+        if not (t := normalised(x)):
+            continue
+        if held and (len(held) == block or many + len(t) > size):
+            yield held
+            held, many = [], 0
+        held.append((i, t))
+        many += len(t)
+    if held:
         yield held
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
-    """One row for each document and item found in it: doc_id, item_id, distance, end."""
+    """One row for each document and item found in it: doc_id, item_id, distance, end. With several blocks each one's rows are written before the next is fetched."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, distance int, end int"
 
     def of(items: list[tuple[int | None, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items, rate)
-            for b in batches:
-                found = [(d, *hit) for d, t in zip(b.column("doc_id").to_pylist(), texts(b.column("text")), strict=True) for hit in matcher.find(normalised(t))]
-                columns = zip(*found, strict=True) if found else [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "item_id", "distance", "end"])
+            for whole in batches:
+                for b in chunks(whole):
+                    found = [(d, *hit) for d, t in zip(b.column("doc_id").to_pylist(), texts(b.column("text")), strict=True) for hit in matcher.find(normalised(t))]
+                    columns = zip(*found, strict=True) if found else [[], [], [], []]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "item_id", "distance", "end"])
 
         return rows.mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionByName, map(of, _blocks(benchmark, block)), docs.sparkSession.createDataFrame([], schema))
+    out, last = [], None
+    for items in _blocks(benchmark, block):
+        if last is not None:
+            out.append(staged(of(last), "found"))
+        last = items
+    out.append(of(last) if last is not None else docs.sparkSession.createDataFrame([], schema))
+    return reduce(DataFrame.unionByName, out)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
-    """The rows of docs that hold no item, with the same columns; no join and no shuffle."""
+    """The rows of docs that hold no item, with the same columns; no join and no shuffle. With several blocks what one has left is written before the next is fetched."""
 
     def without(df: DataFrame, items: list[tuple[int | None, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items, rate)
-            for b in batches:
-                yield b.filter(pa.array([not matcher.find(normalised(t)) for t in texts(b.column("text"))], pa.bool_()))
+            for whole in batches:
+                for b in chunks(whole):
+                    yield b.filter(pa.array([not matcher.find(normalised(t)) for t in texts(b.column("text"))], pa.bool_()))
 
         return df.mapInArrow(run, docs.schema)
 
-    return reduce(without, _blocks(benchmark, block), docs)
+    left, last = docs, None
+    for items in _blocks(benchmark, block):
+        if last is not None:
+            after = staged(without(left, last), "left", "snappy")
+            if left is not docs:
+                remove(left)
+            left = after
+        last = items
+    return without(left, last) if last is not None else docs
