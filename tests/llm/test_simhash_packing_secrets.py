@@ -100,6 +100,11 @@ def test_deduplicated_keeps_clashing_columns(spark):
     assert [(r.doc_id, r.KEPT_ID) for r in simhash.deduplicated(docs).collect()] == [(1, 2)]
 
 
+def test_deduplicated_with_shared_ids(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words of the same id here"), (2, "a b c d e f"), (None, "without an id it says this alone"), (None, "without an id it says this alone"), (None, "a b c d e f"), (3, None), (3, None)]
+    assert sorted((str(r.doc_id), r.text) for r in simhash.deduplicated(frame(spark, rows)).collect() if r.text) == [("1", "a b c d e f"), ("1", "other words of the same id here"), ("None", "a b c d e f"), ("None", "without an id it says this alone")]
+
+
 def test_deduplicated_keeps_one(spark):
     kept = simhash.deduplicated(frame(spark, [(3, "x y z w"), (1, "x y z w"), (2, "other words are here now")])).collect()
     assert sorted(r.doc_id for r in kept) == [1, 2]

@@ -121,7 +121,7 @@ def links(distinct: DataFrame, bits: int = 2, bucket: int = BUCKET) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, bits: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id, n_links (of its fingerprint to others in the final star)."""
+    """doc_id, fingerprint (16 hex digits), component_id."""
     prints = staged(fingerprints(docs, shingle, seed), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     stars = components(links(classes.select("fp"), bits))
@@ -133,10 +133,15 @@ def near_duplicates(docs: DataFrame, bits: int = 2, shingle: int = 3, seed: int
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; of rows with the same doc_id all stay. A null doc_id goes unless nothing else is in its component.
+    """The rows of docs whose doc_id is the smallest of its component; of rows that share doc_id and text one stays. Rows without a doc_id stay if some component holds nothing else.
 
     Components are those of 5-word shingles with a Jaccard similarity of 0.8 or more (tidegrid/llm/overlap.py): so far apart fingerprints differ in up to about
     a quarter of their bits, too many for buckets of them.
     """
-    name = new_name(docs, "kept_id")
-    return docs.join(overlap.kept_ids(docs).withColumnRenamed("kept_id", name), F.expr(f"doc_id <=> {name}"), "left_semi")
+    name, times = new_name(docs, "kept_id"), new_name(docs, "times")
+    kept = docs.join(overlap.kept_ids(docs).withColumnRenamed("kept_id", name), F.expr(f"doc_id <=> {name}"), "left_semi")
+    shared = docs.groupBy(F.col("doc_id").alias(name)).agg(F.count(F.lit(1)).alias(times)).where(F.col(times) > 1).select(name)
+    if not shared.take(1):
+        return kept
+    shared, same = staged(shared, "shared-ids"), F.expr(f"doc_id <=> {name}")
+    return kept.join(shared, same, "left_anti").unionByName(kept.join(shared, same, "left_semi").dropDuplicates(["doc_id", "text"]))
