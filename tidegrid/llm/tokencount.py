@@ -30,7 +30,6 @@ LEAF, MARGIN = 64, 2 * len(MARKER)
 _CACHE = 200_000
 LEAVES = "array<struct<chars:int,pieces:int,tokens:int>>"
 EDITS = "array<struct<seq:bigint,start:bigint,end:bigint,text:string>>"
-_LEAF_TYPE = pa.list_(pa.struct([("chars", pa.int32()), ("pieces", pa.int32()), ("tokens", pa.int32())]))
 
 
 @functools.cache
@@ -52,18 +51,17 @@ def pieces(text: str, at: int = 0) -> Iterator[tuple[int, str]]:
         yield at, MARKER
 
 
-class Counter:
-    """The number of tokens of one pre-token; remembered up to a fixed number of them."""
+class Counter(dict):
+    """Pre-token -> its number of tokens; remembered up to a fixed number of them."""
 
     def __init__(self, path: str):
-        self.encode, self.seen = encoder(path)._core_bpe.encode_single_piece, {MARKER: 1}
-
-    def __call__(self, piece: str) -> int:
-        n = self.seen.get(piece)
-        if n is None:
-            n = len(self.encode(piece.encode()))
-            if len(self.seen) < _CACHE and len(piece) < 40:
-                self.seen[piece] = n
+        super().__init__({MARKER: 1})
+        self.encode = encoder(path)._core_bpe.encode_single_piece
+
+    def __missing__(self, piece: str) -> int:
+        n = len(self.encode(piece.encode()))
+        if len(self) < _CACHE and len(piece) < 40:
+            self[piece] = n
         return n
 
 
@@ -72,11 +70,11 @@ Sizes = tuple[int, int, int]  # characters, pre-tokens, tokens
 
 def leaves(text: str, count: Counter) -> list[Sizes]:
     """Every LEAF pre-tokens of a whole text are a leaf."""
-    found = [p for _, p in pieces(text)]
+    found = [p for _, p in pieces(text)] if MARKER in text else _pattern().findall(text)
     if not found:
         return []
     at = np.arange(0, len(found), LEAF)
-    chars, tokens = (np.add.reduceat(np.fromiter(map(f, found), np.int64, len(found)), at).tolist() for f in (len, count))
+    chars, tokens = (np.add.reduceat(np.fromiter(map(f, found), np.int64, len(found)), at).tolist() for f in (len, count.__getitem__))
     return list(zip(chars, np.diff(np.append(at, len(found))).tolist(), tokens, strict=True))
 
 
@@ -219,7 +217,7 @@ class Tree:
         for i in range(0, len(done), LEAF):
             part = done[i : i + LEAF]
             size = sum(map(len, part))
-            fresh.append(Node(None, None, text, place, (size, len(part), sum(map(self.count, part)))))
+            fresh.append(Node(None, None, text, place, (size, len(part), sum(map(self.count.__getitem__, part)))))
             place += size
         self.encoded += len(done)
         self.root = _joined(_joined(before, _balanced(fresh + kept)), rest)
@@ -258,6 +256,13 @@ class Tree:
         return at if shift == place else -1
 
 
+def _column(found: list[list[Sizes]]) -> pa.Array:
+    """Each document's leaves as an Arrow list, from three flat columns."""
+    flat = np.array([x for f in found for x in f], np.int32).reshape(-1, 3)
+    offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in flat.T], ["chars", "pieces", "tokens"]))
+
+
 def trees(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, text, leaves, n_tokens: every document encoded once. Write it as a table to edit from."""
 
@@ -266,8 +271,7 @@ def trees(docs: DataFrame, path: str) -> DataFrame:
         for whole in batches:
             for b in chunks(whole):
                 found = [leaves(t, count) for t in texts(b.column("text"))]
-                kept = pa.array([[dict(zip(("chars", "pieces", "tokens"), x, strict=True)) for x in f] for f in found], _LEAF_TYPE)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), kept, pa.array([sum(x[2] for x in f) for f in found], pa.int64())], ["doc_id", "text", "leaves", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), _column(found), pa.array([sum(x[2] for x in f) for f in found], pa.int64())], ["doc_id", "text", "leaves", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, text string, leaves {LEAVES}, n_tokens long")
 
@@ -287,10 +291,10 @@ def applied(kept: DataFrame, edits: Column, path: str) -> DataFrame:
                     for e in sorted(todo or [], key=order):
                         tree.edit(e["start"], e["end"], e["text"])
                     after.append(tree.text if todo else t)
-                    sums.append([dict(zip(("chars", "pieces", "tokens"), x, strict=True)) for x in tree.sizes()])
+                    sums.append(tree.sizes())
                     numbers.append((tree.total, *start, tree.encoded))
                 columns = [pa.array(c, pa.int64()) for c in (zip(*numbers, strict=True) if numbers else [[]] * 4)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(after, pa.string()), pa.array(sums, _LEAF_TYPE), *columns], ["doc_id", "text", "leaves", "n_tokens", "n_before", "n_pieces", "n_encoded"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(after, pa.string()), _column(sums), *columns], ["doc_id", "text", "leaves", "n_tokens", "n_before", "n_pieces", "n_encoded"])
 
     return kept.select("doc_id", "text", "leaves", edits.cast(EDITS).alias("edits")).mapInArrow(run, f"doc_id long, text string, leaves {LEAVES}, n_tokens long, n_before long, n_pieces long, n_encoded long")
 
