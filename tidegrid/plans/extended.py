@@ -199,7 +199,7 @@ _add(
 )
 _add(
     "reliability", lambda spark, d: _rounded(sc.reliability(_forecast(spark, d).withColumn("pit", sc.pit("truth", "fill", "sigma")), "pit"), "bin", "n", "share"),
-    FORECAST + f", pp AS (SELECT least(9, floor((1 + {ERF.format('q')}) / 2 * 10))::INT AS bin, count(*) AS n FROM hh GROUP BY 1) SELECT bin, n, round(sum(n) OVER (ORDER BY bin) / sum(n) OVER (), 6) AS share FROM pp",
+    FORECAST + f", pp AS (SELECT least(9, greatest(0, floor((1 + {ERF.format('q')}) / 2 * 10)))::INT AS bin, count(*) AS n FROM hh GROUP BY 1) SELECT bin, n, round(sum(n) OVER (ORDER BY bin) / sum(n) OVER (), 6) AS share FROM pp",
 )
 _add(
     "normal_quantiles", lambda spark, d: spark.createDataFrame([(p, round(ev.normal_quantile(p), 4)) for p in (0.75, 0.9, 0.95, 0.975, 0.99, 0.995)], "p double, z double"),
