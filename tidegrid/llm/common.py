@@ -77,6 +77,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash fingerprint of unsigned 64-bit hashes: a bit is set if in over half of them; of none zero."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 8192):
+        counts += np.unpackbits(hashes[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+
+
 def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows whose texts have about `limit` bytes."""
     n = batch.num_rows

@@ -24,6 +24,8 @@ from tidegrid.llm.components import components
 
 #: Fingerprints in a bucket that are compared pair by pair; a larger bucket is dealt out to finer ones.
 BUCKET = 64
+#: Bits within which fingerprints of sets are compared on their sets.
+NEAR = 4
 
 
 def simhash(data: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -132,14 +134,23 @@ def near_duplicates(docs: DataFrame, bits: int = 2, shingle: int = 3, seed: int
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_sets(sets: DataFrame, bits: int = NEAR) -> DataFrame:
+    """Different sets (key, fp) -> pairs (a > b) of keys: each with the first of its fingerprint, and the first ones of all fingerprints within `bits` bits. Rows of a fingerprint are no more than its sets."""
+    classes = staged(sets.groupBy("fp").agg(F.min("key").alias("first")), "prints")
+    equal = sets.join(classes, "fp").where("key <> first").select(F.col("key").alias("x"), F.col("first").alias("y"))
+    x, y = (classes.select(F.col("fp").alias(c), F.col("first").alias(f)) for c, f in (("u", "x"), ("v", "y")))
+    pairs = equal.unionByName(links(classes.select("fp"), bits).join(x, "u").join(y, "v").select("x", "y"))
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component; of rows that share doc_id and text one stays. Rows without a doc_id stay if some component holds nothing else.
 
-    Components are those of 5-word shingles with a Jaccard similarity of 0.8 or more (tidegrid/llm/overlap.py): so far apart fingerprints differ in up to about
-    a quarter of their bits, too many for buckets of them.
+    Components are those of 5-word shingles with a Jaccard similarity of 0.8 or more. Fingerprints of these shingles within NEAR bits are linked first, by the ring, if their sets have the similarity. Fingerprints of
+    such pairs differ in up to about a quarter of their bits, too many for buckets of them, so what is still in different components goes through the buckets of tidegrid/llm/overlap.py.
     """
     name, times = new_name(docs, "kept_id"), new_name(docs, "times")
-    kept = docs.join(overlap.kept_ids(docs).withColumnRenamed("kept_id", name), F.expr(f"doc_id <=> {name}"), "left_semi")
+    kept = docs.join(overlap.kept_ids(docs, near_sets).withColumnRenamed("kept_id", name), F.expr(f"doc_id <=> {name}"), "left_semi")
     shared = docs.groupBy(F.col("doc_id").alias(name)).agg(F.count(F.lit(1)).alias(times)).where(F.col(times) > 1).select(name)
     if not shared.take(1):
         return kept
